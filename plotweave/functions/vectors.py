@@ -1,0 +1,30 @@
+"""Vector expressions on ``array<float>`` columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from plotweave.functions.text import bind
+
+
+def dot(left: Column, right: Column) -> Column:
+    """Dot product, summed in double."""
+    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def l2_normalise(vector: Column) -> Column:
+    """Unit-length copy as ``array<float>``; a zero vector stays zero."""
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(
+            v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+        return bind(
+            F.struct(v.alias("v"), norm.alias("n")),
+            lambda s: F.when(
+                s["n"] > 0, F.transform(s["v"], lambda x: (x / s["n"]).cast("float"))
+            ).otherwise(F.transform(s["v"], lambda x: x.cast("float"))),
+        )
+
+    return bind(vector, scaled)
