@@ -11,20 +11,39 @@ from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
 
 
-def postings(
-    docs: DataFrame, text: str = "combined_text", only_terms: DataFrame | None = None
-) -> DataFrame:
+def _occurrences(docs: DataFrame, text: str) -> DataFrame:
+    """(id, doc_len, term), one row per token.
+
+    ``explode_outer`` plus a filter on its output, because a plain ``explode`` makes Catalyst
+    add a filter below it that tokenises every text a second time.
+    """
+    split = docs.select("id", X.tokens(F.col(text)).alias("t"))
+    return split.select(
+        "id", F.size("t").alias("doc_len"), F.explode_outer("t").alias("term")
+    ).filter(F.col("term").isNotNull())
+
+
+def _counted(occurrences: DataFrame) -> DataFrame:
+    return occurrences.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(docs: DataFrame, text: str = "combined_text") -> DataFrame:
     """(term, id, doc_len, tf) for documents (id, ``text``).
 
     The document length rides along, so scoring needs no join with a length table. Terms are
     counted before the shuffle, and its key holds the id, so a frequent term spreads evenly.
-    ``only_terms`` keeps just the terms of a query batch.
     """
-    exploded = docs.select("id", X.tokens(F.col(text)).alias("t")).select(
-        "id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
-    if only_terms is not None:
-        exploded = exploded.join(only_terms.select("term").distinct(), "term", "left_semi")
-    return exploded.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    return _counted(_occurrences(docs, text))
+
+
+def asked_postings(docs: DataFrame, asked: DataFrame, text: str = "combined_text") -> DataFrame:
+    """Postings of only the terms in ``asked``, partitioned by document.
+
+    Partitioned this way they serve the term statistics and the scoring from one shuffle.
+    """
+    wanted = asked.select("term").distinct()
+    found = _occurrences(docs, text).join(wanted, "term", "left_semi")
+    return _counted(found.repartition("id"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "combined_text") -> DataFrame:
@@ -39,7 +58,8 @@ def term_stats(index: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms per query of (query_id, query)."""
     return queries.select(
-        "query_id", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term"))
+        "query_id", F.explode_outer(F.array_distinct(X.tokens(F.col("query")))).alias("term")
+    ).filter(F.col("term").isNotNull())
 
 
 def bm25_top_k(
@@ -77,8 +97,7 @@ def bm25_without_index(
 ) -> DataFrame:
     """BM25 straight from the documents, counting only the terms that are asked for."""
     asked = query_terms(queries)
-    index = postings(docs, text, only_terms=asked)
-    stats = corpus_stats(docs, text)
+    index = asked_postings(docs, asked, text)
+    stats = corpus_stats(docs, text).select(F.struct("docs", "avg_len")).scalar()
     return bm25_top_k(
-        asked, index, term_stats(index), stats.select("docs").scalar(),
-        stats.select("avg_len").scalar(), k, salts=salts)
+        asked, index, term_stats(index), stats["docs"], stats["avg_len"], k, salts=salts)

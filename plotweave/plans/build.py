@@ -12,7 +12,7 @@ from plotweave.functions import text as X
 from plotweave.operators.embed import Embedder, embed, hashed_words
 from plotweave.operators.merge import merge_entities, with_keys
 from plotweave.operators.prepare import canonicalise, newest_n, quality_gate, union_sources
-from plotweave.scratch import stage
+from plotweave.scratch import spread, stage
 from plotweave.sources import catalogue as C
 from plotweave.sources.specs import SourceSpec, read_csv
 
@@ -45,8 +45,8 @@ def stage_source(
     """
     raw = read_csv(spark, spec) if table is None else table
     seen = Observation(f"gate-{src_rank}")
-    gated = quality_gate(canonicalise(raw, spec, src_rank), min_plot_chars, seen)
-    staged = stage(gated, "source")
+    rows = spread(canonicalise(raw, spec, src_rank), "src_ord")
+    staged = stage(quality_gate(rows, min_plot_chars, seen), "source")
     counts = seen.get
     passed = counts["rows"] - counts["dropped"]
     kept = passed

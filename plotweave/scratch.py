@@ -35,6 +35,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that comes in fewer pieces than there are cores.
+
+    One large unsplittable file or a small table would otherwise keep one task busy. An input
+    with enough partitions is returned as it is, so big tables are not shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def pin_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, int] | None:
     """``df`` as a local relation with its row count, or None above ``max_rows`` rows."""
     table = df.limit(max_rows + 1).toArrow()

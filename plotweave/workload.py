@@ -19,7 +19,7 @@ from plotweave.plans import search as search_plan
 from plotweave.plans.build import build_catalogue, entity_texts
 from plotweave.plans.present import page_counts, paged, result_cards
 from plotweave.plans.similar import neighbours, present_similar, similar
-from plotweave.scratch import scratch_path
+from plotweave.scratch import scratch_path, spread, stage
 from plotweave.sources.catalogue import open_catalogue
 from plotweave.sources.specs import SourceSpec
 
@@ -45,12 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text table, read by all cores however few row groups it has."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- Inputs ----------------------------------------------------------------------------------
 
 
 def films(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in canonical shape."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     words = F.split(X.strip(F.col("text")), r"(?U)[\s\x1c-\x1f]+")
     title = F.array_join(F.slice(words, 1, 3), " ")
     return docs.select(
@@ -340,7 +345,7 @@ select doc_id, {q_year('text')} release_year,
        coalesce(try_cast(regexp_extract(text, '([0-9]{{4}})', 1) as int), 0) recency_key
 from documents""")
 def normalise_year(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", X.normalize_year(F.col("text")).alias("release_year"),
         X.recency_key(F.col("text")).alias("recency_key"))
 
@@ -477,6 +482,13 @@ def merge_plots(spark, sf_dir):
     return merge.merge_plots(merge.with_keys(films(spark, sf_dir)), EMBEDDER)
 
 
+@register("merge_plots_large_groups", ORACLES["merge_plots"])
+def merge_plots_large_groups(spark, sf_dir):
+    """The same result by the plan for groups too large to gather."""
+    rows = merge.with_keys(films(spark, sf_dir))
+    return merge.merge_plots(rows, EMBEDDER, max_group=16, head_rows=32, rows_per_task=64)
+
+
 _GROUP = "title_key, release_year"
 
 
@@ -521,7 +533,7 @@ select doc_id, bucket::int bucket, round(value, 6) as "value" from (
   select doc_id, generate_subscripts(v, 1) - 1 bucket, unnest(v) as "value" from v)
 where "value" <> 0""")
 def embed_text(spark, sf_dir):
-    vectors = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", EMBEDDER)
+    vectors = embed(documents(spark, sf_dir).select("doc_id", "text"), "text", EMBEDDER)
     return vectors.select("doc_id", F.posexplode("vector").alias("bucket", "value")).filter(
         F.col("value") != 0).withColumn("value", P.quantise(F.col("value")))
 
@@ -604,7 +616,7 @@ with toks as (select doc_id id, unnest({q_tokens('text')}) term from documents),
 lens as (select doc_id id, len({q_tokens('text')}) doc_len from documents)
 select term, id, doc_len::int doc_len, count(*) tf from toks join lens using (id) group by all""")
 def postings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return lexical.postings(docs, "text")
 
 
@@ -612,7 +624,7 @@ def postings(spark, sf_dir):
 with {_Q_DOC_ENTITIES}, {Q_BATCH}, {q_bm25(S.RETRIEVAL_LIMIT)}
 select query_id, id, score, rank from text_hits""")
 def bm25_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     return lexical.bm25_without_index(batch(spark, sf_dir), docs, S.RETRIEVAL_LIMIT, "text")
 
 
@@ -621,7 +633,7 @@ def bm25_topk(spark, sf_dir):
 
 def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     queries, rows = search_plan.pin(batch(spark, sf_dir))
-    entities = embed(film_entities(spark, sf_dir), "combined_text", EMBEDDER)
+    entities = stage(embed(film_entities(spark, sf_dir), "combined_text", EMBEDDER), "films")
     found = search_plan.retrieve(
         queries, entities, EMBEDDER,
         broadcast=search_plan.broadcastable(rows, S.RETRIEVAL_LIMIT))
