@@ -97,7 +97,7 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors as entities."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("id"),
         F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("title"),
         (F.col("label") + 2000).cast("string").alias("release_year"),
@@ -451,6 +451,11 @@ def combine_terms(spark, sf_dir):
     return merge.combine_terms(_parts(spark, sf_dir), ["cast"], ["brand"])
 
 
+def _keyed(spark, sf_dir) -> DataFrame:
+    """Canonical rows staged as the build does it, so every branch reads only its columns."""
+    return stage(merge.with_keys(films(spark, sf_dir)), "films")
+
+
 _Q_MERGED_PLOTS = q_vectors("pv", "documents", "doc_id", "text") + f""",
 o as (
   select title_key || '#' || release_year k, title_key, release_year, doc_id, plot,
@@ -479,13 +484,13 @@ plots as (
 @register("merge_plots", f"""
 with recursive {_Q_KEYED}, {_Q_MERGED_PLOTS} select title_key, release_year, plot from plots""")
 def merge_plots(spark, sf_dir):
-    return merge.merge_plots(merge.with_keys(films(spark, sf_dir)), EMBEDDER)
+    return merge.merge_plots(_keyed(spark, sf_dir), EMBEDDER)
 
 
 @register("merge_plots_large_groups", ORACLES["merge_plots"])
 def merge_plots_large_groups(spark, sf_dir):
     """The same result by the plan for groups too large to gather."""
-    rows = merge.with_keys(films(spark, sf_dir))
+    rows = _keyed(spark, sf_dir)
     return merge.merge_plots(rows, EMBEDDER, max_group=16, head_rows=32, rows_per_task=64)
 
 
@@ -515,7 +520,7 @@ merged as (
 @register("merge_entities", f"""
 with recursive {_Q_KEYED}, {_q_merged('keyed')} select * from merged""")
 def merge_entities(spark, sf_dir):
-    return merge.merge_entities(merge.with_keys(films(spark, sf_dir)), EMBEDDER)
+    return merge.merge_entities(_keyed(spark, sf_dir), EMBEDDER)
 
 
 @register("combined_text", f"""
