@@ -17,8 +17,8 @@ def sigmoid(logit: Column) -> Column:
 
 
 def percent_text(fraction: Column) -> Column:
-    """``0.97249`` as ``97.2%``; halves go to the even digit."""
-    return F.concat(F.bround(fraction * 100, 1).cast("string"), F.lit("%"))
+    """``0.97249`` as ``97.2%``; halves go to the even digit, in binary floating point."""
+    return F.concat((F.rint(fraction * 100 * 10) / 10).cast("string"), F.lit("%"))
 
 
 def percent_value(text: Column) -> Column:

@@ -36,12 +36,16 @@ def postings(docs: DataFrame, text: str = "combined_text") -> DataFrame:
     return _counted(_occurrences(docs, text))
 
 
-def asked_postings(docs: DataFrame, asked: DataFrame, text: str = "combined_text") -> DataFrame:
+def asked_postings(
+    docs: DataFrame, asked: DataFrame, text: str = "combined_text", small_batch: bool = False
+) -> DataFrame:
     """Postings of only the terms in ``asked``, partitioned by document.
 
     Partitioned this way they serve the term statistics and the scoring from one shuffle.
     """
     wanted = asked.select("term").distinct()
+    if small_batch:
+        wanted = F.broadcast(wanted)
     found = _occurrences(docs, text).join(wanted, "term", "left_semi")
     return _counted(found.repartition("id"))
 
@@ -65,7 +69,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_top_k(
     asked: DataFrame, index: DataFrame, terms: DataFrame, docs: Column, avg_len: Column, k: int,
     k1: float = S.BM25_K1, b: float = S.BM25_B, salts: int | None = None,
-    partition: str | None = None,
+    partition: str | None = None, small_batch: bool = False,
 ) -> DataFrame:
     """Best ``k`` documents per query: (query_id, id, score, rank).
 
@@ -73,18 +77,25 @@ def bm25_top_k(
     document; only then are they multiplied by the queries that share a term. Summing per
     (query, document) therefore needs no further shuffle. ``partition`` names a column derived
     from the term by which the stored tables are laid out, so unasked folders are not read.
+    ``small_batch`` says that the size of the batch was checked: its terms are then broadcast and
+    the postings never move by term. Otherwise Catalyst decides, and adaptive execution splits
+    the partitions of frequent terms.
     """
     on = ["term"] if partition is None else [partition, "term"]
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small_batch else df
+
     df = F.col("df")
     idf = F.log1p((docs - df + 0.5) / (df + 0.5))
-    weighted = asked.select(*on).distinct().join(terms, on).select(*on, idf.alias("idf"))
+    weighted = terms.join(side(asked.select(*on).distinct()), on).select(*on, idf.alias("idf"))
     tf = F.col("tf").cast("double")
     part = F.col("idf") * (tf * (k1 + 1)) / (
         tf + k1 * (1 - b + b * F.col("doc_len") / avg_len))
-    matched = index.join(weighted, on).select("term", "id", part.alias("part"))
+    matched = index.join(side(weighted), on).select("term", "id", part.alias("part"))
     scored = (
         matched.repartition("id")
-        .join(asked.select("query_id", "term"), "term")
+        .join(side(asked.select("query_id", "term")), "term")
         .groupBy("query_id", "id")
         .agg(quantise(F.sum("part")).alias("score"))
     )
@@ -93,11 +104,12 @@ def bm25_top_k(
 
 def bm25_without_index(
     queries: DataFrame, docs: DataFrame, k: int, text: str = "combined_text",
-    salts: int | None = None,
+    salts: int | None = None, small_batch: bool = False,
 ) -> DataFrame:
     """BM25 straight from the documents, counting only the terms that are asked for."""
     asked = query_terms(queries)
-    index = asked_postings(docs, asked, text)
+    index = asked_postings(docs, asked, text, small_batch)
     stats = corpus_stats(docs, text).select(F.struct("docs", "avg_len")).scalar()
     return bm25_top_k(
-        asked, index, term_stats(index), stats["docs"], stats["avg_len"], k, salts=salts)
+        asked, index, term_stats(index), stats["docs"], stats["avg_len"], k, salts=salts,
+        small_batch=small_batch)

@@ -15,12 +15,14 @@ from plotweave.operators.lexical import bm25_top_k, bm25_without_index, query_te
 from plotweave.operators.rank import top_k
 from plotweave.operators.vector_search import DEFAULT_PROBES, ann_search, exact_knn
 from plotweave.scratch import pin_if_small, stage
-from plotweave.sources.catalogue import Catalogue
+from plotweave.sources.catalogue import Catalogue, only_folders
 
 Scorer = Callable[[Column, Column], Column]
 
-# Batches up to this size are pinned as a local relation; larger ones are staged as a table.
+# Batches within both bounds are pinned as a local relation and may be broadcast; larger ones
+# are staged as a table and joined by shuffles.
 PIN_ROWS = 20_000
+PIN_BYTES = 32 << 20
 # A pinned batch has at most rows * 2 * limit candidates, each a handful of numbers; the list is
 # broadcast only while that product stays within this bound.
 BROADCAST_CANDIDATES = 1_000_000
@@ -132,22 +134,26 @@ def finish(candidates: DataFrame, batch: DataFrame, num_results: int,
 
 def retrieve(
     batch: DataFrame, entities: DataFrame, embedder: Embedder, limit: int = S.RETRIEVAL_LIMIT,
-    fulltext: bool = S.FULLTEXT, broadcast: bool = False,
+    fulltext: bool = S.FULLTEXT, rows: int | None = None,
 ) -> DataFrame:
-    """Hybrid candidates straight from a table of entities with vectors, without any index."""
+    """Hybrid candidates straight from a table of entities with vectors, without any index.
+
+    ``rows`` is the size of a pinned batch, None for an unbounded one.
+    """
     asked = embed(batch.select("query_id", "query"), "query", embedder, is_query=True)
     vector_hits = exact_knn(asked, entities, limit, embedder.dim)
-    text_hits = bm25_without_index(batch, entities, limit) if fulltext else None
+    text_hits = bm25_without_index(
+        batch, entities, limit, small_batch=rows is not None) if fulltext else None
     found = unite_arms(vector_hits, text_hits)
     wide = entities.select(
         "id", "title", "release_year", "genre", "plot", "combined_text")
-    return first_per_text(attach_entities(found, wide, broadcast))
+    return first_per_text(attach_entities(found, wide, broadcastable(rows, limit)))
 
 
 def pin(queries: DataFrame) -> tuple[DataFrame, int | None]:
     """The normalised batch held once, with its row count when it is small."""
     batch = query_batch(queries)
-    return pin_if_small(batch, PIN_ROWS) or (stage(batch, "queries"), None)
+    return pin_if_small(batch, PIN_ROWS, PIN_BYTES) or (stage(batch, "queries"), None)
 
 
 def broadcastable(rows: int | None, limit: int) -> bool:
@@ -177,16 +183,40 @@ def search(
 
     text_hits = None
     if fulltext and catalogue.meta["fulltext"]:
-        asked_terms = query_terms(batch).withColumn(
-            "bucket", catalogue.bucket_of(F.col("term")))
-        text_hits = bm25_top_k(
-            asked_terms, catalogue.postings, catalogue.terms, F.lit(catalogue.rows),
-            F.lit(catalogue.meta["avg_len"]), limit, partition="bucket")
-
+        text_hits = _stored_text_hits(batch, catalogue, limit, rows is not None)
     found = unite_arms(vector_hits, text_hits).withColumn(
         "shard", catalogue.shard_of(F.col("id")))
-    wide = catalogue.entities.select(
-        "shard", "id", "title", "release_year", "genre", "plot", "combined_text")
-    candidates = first_per_text(
-        attach_entities(found, wide, broadcastable(rows, limit), ("shard", "id")))
+    candidates = first_per_text(look_up(
+        found, catalogue,
+        ("id", "title", "release_year", "genre", "plot", "combined_text"),
+        rows * 2 * limit if broadcastable(rows, limit) else None))
     return finish(candidates, batch, num_results, scorer)
+
+
+def _stored_text_hits(batch: DataFrame, catalogue: Catalogue, limit: int, small: bool):
+    asked = query_terms(batch).withColumn("bucket", catalogue.bucket_of(F.col("term")))
+    index, terms = catalogue.postings, catalogue.terms
+    if small:
+        pinned = pin_if_small(asked, PIN_BYTES, PIN_BYTES)
+        if pinned is not None:
+            asked = pinned[0]
+            index = only_folders(index, "bucket", asked)
+            terms = only_folders(terms, "bucket", asked)
+    return bm25_top_k(
+        asked, index, terms, F.lit(catalogue.rows), F.lit(catalogue.meta["avg_len"]), limit,
+        partition="bucket", small_batch=small)
+
+
+def look_up(hits: DataFrame, catalogue: Catalogue, columns: tuple[str, ...],
+            max_rows: int | None) -> DataFrame:
+    """Stored columns of the hits, which carry (id, shard).
+
+    A list with a proven bound is pinned first: then only its shards are read, and it is
+    broadcast to them. Without a bound this is an ordinary join.
+    """
+    stored = catalogue.entities.select("shard", *columns)
+    pinned = None if max_rows is None else pin_if_small(hits, max_rows, PIN_BYTES * 2)
+    if pinned is None:
+        return attach_entities(hits, stored, False, ("shard", "id"))
+    stored = only_folders(stored, "shard", pinned[0])
+    return attach_entities(pinned[0], stored, True, ("shard", "id"))

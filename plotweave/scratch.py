@@ -47,9 +47,9 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
-def pin_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, int] | None:
-    """``df`` as a local relation with its row count, or None above ``max_rows`` rows."""
+def pin_if_small(df: DataFrame, max_rows: int, max_bytes: int) -> tuple[DataFrame, int] | None:
+    """``df`` as a local relation with its row count, or None above either bound."""
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
     return df.sparkSession.createDataFrame(table, schema=df.schema), table.num_rows

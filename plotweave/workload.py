@@ -630,7 +630,9 @@ with {_Q_DOC_ENTITIES}, {Q_BATCH}, {q_bm25(S.RETRIEVAL_LIMIT)}
 select query_id, id, score, rank from text_hits""")
 def bm25_topk(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    return lexical.bm25_without_index(batch(spark, sf_dir), docs, S.RETRIEVAL_LIMIT, "text")
+    queries, rows = search_plan.pin(batch(spark, sf_dir))
+    return lexical.bm25_without_index(
+        queries, docs, S.RETRIEVAL_LIMIT, "text", small_batch=rows is not None)
 
 
 # --- Search ----------------------------------------------------------------------------------
@@ -639,10 +641,7 @@ def bm25_topk(spark, sf_dir):
 def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     queries, rows = search_plan.pin(batch(spark, sf_dir))
     entities = stage(embed(film_entities(spark, sf_dir), "combined_text", EMBEDDER), "films")
-    found = search_plan.retrieve(
-        queries, entities, EMBEDDER,
-        broadcast=search_plan.broadcastable(rows, S.RETRIEVAL_LIMIT))
-    return found, queries
+    return search_plan.retrieve(queries, entities, EMBEDDER, rows=rows), queries
 
 
 @register("hybrid_retrieve", f"""

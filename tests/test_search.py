@@ -1,0 +1,214 @@
+"""BM25, hybrid retrieval, filters, ranking, stored catalogue, presentation."""
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import plotweave
+from plotweave.functions import text as X
+from plotweave.operators import lexical
+from plotweave.operators.embed import hashed_words
+from plotweave.plans import search as SP
+from plotweave.plans.present import page_counts, paged, result_cards
+from plotweave.sources.specs import SourceSpec
+
+EMBEDDER = hashed_words(64)
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def brute_bm25(docs, query, k1=1.2, b=0.75):
+    tokens = {i: words(t) for i, t in docs.items()}
+    n, avg = len(docs), sum(map(len, tokens.values())) / len(docs)
+    scores = {}
+    for term in set(words(query)):
+        df = sum(term in t for t in tokens.values())
+        for i, t in tokens.items():
+            tf = t.count(term)
+            if tf:
+                idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                scores[i] = scores.get(i, 0) + idf * tf * (k1 + 1) / (
+                    tf + k1 * (1 - b + b * len(t) / avg))
+    return scores
+
+
+DOCS = {
+    1: "the cat sat on the mat", 2: "a dog and a cat", 3: "the the the", 4: "", 5: "Zebra!",
+    6: "dog dog dog cat", 7: "mat",
+}
+
+
+def test_bm25_equals_formula(spark):
+    docs = spark.createDataFrame(list(DOCS.items()), "id bigint, combined_text string")
+    asked = spark.createDataFrame(
+        [(1, "cat dog dog"), (2, "the ZEBRA"), (3, "none such"), (4, "!!")],
+        "query_id bigint, query string")
+    got = {}
+    for r in lexical.bm25_without_index(asked, docs, 10).collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = r["score"]
+    want = {1: brute_bm25(DOCS, "cat dog"), 2: brute_bm25(DOCS, "the zebra")}
+    assert set(got) == {1, 2}
+    for q, scores in want.items():
+        assert got[q] == pytest.approx(scores, abs=1e-6)
+
+
+def test_scoring_moves_each_posting_once(spark):
+    """One shuffle by document serves statistics and scores; none per (query, document)."""
+    docs = spark.createDataFrame(list(DOCS.items()), "id bigint, combined_text string")
+    asked = spark.createDataFrame([(1, "cat dog")], "query_id bigint, query string")
+    plan = lexical.bm25_without_index(asked, docs, 10, small_batch=True)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", physical)
+
+
+def test_filters(spark):
+    cand = spark.createDataFrame(
+        [(q, i, y, g) for q in (1, 2, 3, 4) for i, y, g in [
+            (1, "1990", "Drama, Sci-Fi"), (2, "2000", "Comedy"), (3, "Unknown", "Action")]],
+        "query_id bigint, id bigint, release_year string, genre string")
+    batch = SP.query_batch(spark.createDataFrame(
+        [(1, "q", None, None, None), (2, "q", 1990, None, ""), (3, "q", None, 1995, None),
+         (4, "q", None, None, "SCI|^com")],
+        "query_id bigint, query string, min_year int, max_year int, genre string"))
+    got = {}
+    for r in SP.apply_filters(cand, batch).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got == {1: {1, 2, 3}, 2: {1, 2}, 3: {1}, 4: {1, 2}}
+
+
+def test_blank_queries_vanish(spark):
+    batch = SP.query_batch(spark.createDataFrame(
+        [(1, " \t"), (2, ""), (3, " x "), (4, None)], "query_id bigint, query string"))
+    assert [(r["query_id"], r["query"]) for r in batch.collect()] == [(3, "x")]
+
+
+def test_first_per_text_prefers_vector_arm(spark):
+    rows = [(1, 10, 1, 1, "same"), (1, 11, 0, 9, "same"), (1, 12, 1, 2, "other")]
+    df = spark.createDataFrame(
+        rows, "query_id bigint, id bigint, arm int, rank int, combined_text string")
+    assert {r["id"] for r in SP.first_per_text(df).collect()} == {11, 12}
+
+
+def test_rerank_caps_the_passage_and_takes_any_scorer(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "q", "x" * 3000)], "query_id bigint, id bigint, query string, combined_text string")
+    got = SP.rerank(df, lambda q, p: F.length(p) - 2000.0).first()
+    assert got["confidence"] == 0.5
+
+
+@pytest.fixture(scope="module")
+def catalogue(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("catalogue")
+    first = spark.createDataFrame([
+        ("The Matrix", "1999", "sci-fi", "A hacker learns that his whole world is simulated.", "Keanu"),
+        ("Amélie", "2001", "comedy", "A shy waitress in Paris decides to change other lives.", ""),
+        ("Short", "1980", "drama", "too short", ""),
+        ("Day", "1993", "comedy", "A man relives the same winter day over and over again.", ""),
+    ], "t string, y string, g string, p string, c string").withColumn(
+        "n", F.monotonically_increasing_id())
+    second = spark.createDataFrame([
+        ("matrix", "1999.0", "Action", "A hacker learns that his whole world is simulated!", "kung fu"),
+        ("Old", "1950", "drama", "An old story that the newest cut will leave out.", None),
+        ("Day", "1993", None, "Completely different words describe this film here.", "winter"),
+    ], "t string, y string, g string, p string, k string").withColumn(
+        "n", F.monotonically_increasing_id())
+    sources = [
+        SourceSpec("one", "", "t", "y", "g", "p", cast="c", order="n"),
+        SourceSpec("two", "", "t", "y", "g", "p", keywords=("k",), order="n", limit_newest=2),
+    ]
+    path = str(folder / "cat")
+    report = plotweave.build_catalogue(
+        spark, sources, path, EMBEDDER, tables={"one": first, "two": second})
+    return path, report
+
+
+def test_build_report_and_rows(spark, catalogue):
+    path, report = catalogue
+    assert (report.rows, report.ann, report.fulltext) == (3, False, True)
+    assert [(s.name, s.rows, s.dropped, s.kept) for s in report.sources] == [
+        ("one", 4, 1, 3), ("two", 3, 0, 2)]
+    opened = plotweave.open_catalogue(spark, path, EMBEDDER)
+    rows = {r["title"]: r for r in opened.entities.collect()}
+    assert set(rows) == {"The Matrix", "Amélie", "Day"}
+    matrix = rows["The Matrix"]
+    assert (matrix["genre"], matrix["cast"], matrix["keywords"]) == (
+        "Action, Sci-Fi", "Keanu", "kung fu")
+    assert matrix["plot"] == "A hacker learns that his whole world is simulated."
+    assert "\n\n" in rows["Day"]["plot"]
+    assert matrix["combined_text"].startswith(
+        "Title: The Matrix. Release Year: 1999. Genre: Action, Sci-Fi. Cast: Keanu. "
+        "Keywords: kung fu. Plot: A hacker")
+
+
+def test_open_errors(spark, catalogue, tmp_path):
+    with pytest.raises(plotweave.CatalogueNotBuiltError):
+        plotweave.open_catalogue(spark, str(tmp_path / "nothing"), EMBEDDER)
+    with pytest.raises(ValueError, match="built with"):
+        plotweave.open_catalogue(spark, catalogue[0], hashed_words(32))
+
+
+def test_stored_search_equals_unstored(spark, catalogue):
+    opened = plotweave.open_catalogue(spark, catalogue[0], EMBEDDER)
+    queries = spark.createDataFrame(
+        [(1, "same day over again"), (2, "hacker in Paris"), (3, " ")],
+        "query_id bigint, query string")
+    stored = plotweave.search(queries, opened)
+    batch, rows = SP.pin(queries)
+    direct = SP.finish(
+        SP.retrieve(batch, opened.entities, EMBEDDER, rows=rows), batch, 5)
+    got = sorted(map(tuple, stored.collect()))
+    assert got == sorted(map(tuple, direct.collect()))
+    best = {r["query_id"]: r["Title"] for r in stored.collect() if r["result_rank"] == 1}
+    assert best[1] == "Day"
+    assert 3 not in best
+    assert stored.columns[3:8] == ["Title", "Release Year", "Genre", "Plot", "Confidence"]
+
+
+def test_search_without_fulltext_and_large_batch_plan(spark, catalogue, monkeypatch):
+    opened = plotweave.open_catalogue(spark, catalogue[0], EMBEDDER)
+    queries = spark.createDataFrame([(1, "hacker"), (2, "waitress")], "query_id bigint, query string")
+    small = sorted(map(tuple, plotweave.search(queries, opened).collect()))
+    monkeypatch.setattr(SP, "PIN_ROWS", 1)
+    assert sorted(map(tuple, plotweave.search(queries, opened).collect())) == small
+    assert plotweave.search(queries, opened, fulltext=False).count() == 6
+
+
+def test_similar_excludes_itself_and_unknown_is_empty(spark, catalogue):
+    opened = plotweave.open_catalogue(spark, catalogue[0], EMBEDDER)
+    anchors = spark.createDataFrame(
+        [(1, "The Matrix", "1999"), (2, "The Matrix", "2000"), (3, "it's", "1")],
+        "query_id bigint, title string, release_year string")
+    rows = plotweave.similar(anchors, opened, k=2).orderBy("result_rank").collect()
+    assert {r["query_id"] for r in rows} == {1}
+    assert {r["Title"] for r in rows} == {"Amélie", "Day"}
+    assert all(r["Similarity"].endswith("%") for r in rows)
+
+
+def test_cards_and_pages(spark):
+    results = spark.createDataFrame([
+        (1, 1, "T", "1999", "Drama", "p" * 161, "97.2%"),
+        (1, 7, "U", None, "Unknown", "", ""),
+        (1, 25, "V", "2000", "Unknown", "x", "1.0%"),
+    ], "query_id int, result_rank int, Title string, `Release Year` string, Genre string, "
+       "Plot string, Confidence string")
+    rows = result_cards(results).orderBy("result_rank").collect()
+    assert rows[0]["label"] == "T (1999)"
+    assert rows[0]["preview"] == "p" * 160 + "…"
+    assert rows[0]["meta"] == "Genre: Drama  ·  Match: 97.2%"
+    assert rows[0]["sim"] == pytest.approx(0.972)
+    assert (rows[1]["label"], rows[1]["meta"], rows[1]["body"], rows[1]["sim"]) == (
+        "U (Unknown)", "Year: Unknown", "No plot available.", 0.0)
+    assert [(r["result_rank"], r["page"]) for r in paged(results).collect()] == [(1, 0), (7, 1)]
+    assert paged(results, page=1).count() == 1
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    many = spark.range(30).select(F.lit(1).alias("query_id"))
+    assert {r["query_id"]: r["pages"] for r in page_counts(queries, many).collect()} == {1: 4, 2: 1}
+
+
+def test_year_bounds_from_text(spark):
+    df = spark.createDataFrame([("1990 ",)], "a string")
+    assert df.select(X.parse_year_bound(F.col("a"))).first()[0] == 1990
