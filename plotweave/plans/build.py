@@ -90,7 +90,7 @@ def build_catalogue(
     texts = stage(entity_texts(merge_entities(rows, embedder, threshold)), "entities")
     total = texts.count()
     shards = C.shard_count(total)
-    C.write_entities(embed(texts, "combined_text", embedder), path, shards)
+    C.write_entities(embed(spread(texts, "id"), "combined_text", embedder), path, shards)
 
     entities = spark.read.parquet(f"{path}/entities")
     ann = C.write_cells(
