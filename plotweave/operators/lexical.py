@@ -42,6 +42,8 @@ def asked_postings(
     """Postings of only the terms in ``asked``, partitioned by document.
 
     Partitioned this way they serve the term statistics and the scoring from one shuffle.
+    Counting before it would need a shuffle of its own on (term, id); the rows that move here
+    are at most the asked words of each document, and the ids spread them evenly.
     """
     wanted = asked.select("term").distinct()
     if small_batch:

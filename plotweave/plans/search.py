@@ -153,7 +153,8 @@ def retrieve(
 def pin(queries: DataFrame) -> tuple[DataFrame, int | None]:
     """The normalised batch held once, with its row count when it is small."""
     batch = query_batch(queries)
-    return pin_if_small(batch, PIN_ROWS, PIN_BYTES) or (stage(batch, "queries"), None)
+    pinned = pin_if_small(batch, PIN_ROWS, PIN_BYTES)
+    return (stage(batch, "queries"), None) if pinned is None else (pinned.df, pinned.rows)
 
 
 def broadcastable(rows: int | None, limit: int) -> bool:
@@ -199,9 +200,9 @@ def _stored_text_hits(batch: DataFrame, catalogue: Catalogue, limit: int, small:
     if small:
         pinned = pin_if_small(asked, PIN_BYTES, PIN_BYTES)
         if pinned is not None:
-            asked = pinned[0]
-            index = only_folders(index, "bucket", asked)
-            terms = only_folders(terms, "bucket", asked)
+            asked = pinned.df
+            index = only_folders(index, "bucket", pinned.values("bucket"))
+            terms = only_folders(terms, "bucket", pinned.values("bucket"))
     return bm25_top_k(
         asked, index, terms, F.lit(catalogue.rows), F.lit(catalogue.meta["avg_len"]), limit,
         partition="bucket", small_batch=small)
@@ -218,5 +219,5 @@ def look_up(hits: DataFrame, catalogue: Catalogue, columns: tuple[str, ...],
     pinned = None if max_rows is None else pin_if_small(hits, max_rows, PIN_BYTES * 2)
     if pinned is None:
         return attach_entities(hits, stored, False, ("shard", "id"))
-    stored = only_folders(stored, "shard", pinned[0])
-    return attach_entities(pinned[0], stored, True, ("shard", "id"))
+    stored = only_folders(stored, "shard", pinned.values("shard"))
+    return attach_entities(pinned.df, stored, True, ("shard", "id"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,9 +53,24 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
-def pin_if_small(df: DataFrame, max_rows: int, max_bytes: int) -> tuple[DataFrame, int] | None:
-    """``df`` as a local relation with its row count, or None above either bound."""
+class Pinned(NamedTuple):
+    """A result held as a local relation, with the driver's copy of its rows."""
+
+    df: DataFrame
+    table: pa.Table
+
+    @property
+    def rows(self) -> int:
+        return self.table.num_rows
+
+    def values(self, column: str) -> list:
+        """Distinct values of a column."""
+        return self.table[column].unique().to_pylist()
+
+
+def pin_if_small(df: DataFrame, max_rows: int, max_bytes: int) -> Pinned | None:
+    """``df`` as a local relation, or None above either bound."""
     table = df.limit(max_rows + 1).toArrow()
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema), table.num_rows
+    return Pinned(df.sparkSession.createDataFrame(table, schema=df.schema), table)
