@@ -45,7 +45,9 @@ def stage_source(
     """
     raw = read_csv(spark, spec) if table is None else table
     seen = Observation(f"gate-{src_rank}")
-    rows = spread(canonicalise(raw, spec, src_rank), "src_ord")
+    rows = canonicalise(raw, spec, src_rank)
+    if table is None:
+        rows = spread(rows, "src_ord")
     staged = stage(quality_gate(rows, min_plot_chars, seen), "source")
     counts = seen.get
     passed = counts["rows"] - counts["dropped"]

@@ -45,7 +45,8 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input that comes in fewer pieces than there are cores.
 
     One large unsplittable file or a small table would otherwise keep one task busy. An input
-    with enough partitions is returned as it is, so big tables are not shuffled for this.
+    with enough partitions is returned as it is, so big tables are not shuffled for this. Only
+    for scans: counting the partitions of a plan with shuffles would run them.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
