@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from typing import NamedTuple
@@ -13,17 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def use_local_folder(spark: SparkSession) -> None:
+    """Name a temporary folder where ``spark.checkpoint.dir`` is unset: tests, bench, entry.
+
+    Only for a driver that is its own executor; anywhere else the setting is required.
+    """
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or not re.fullmatch(
+            r"local(\[[^]]*\])?", context.master):
+        return
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="plotweave-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    folder = _LOCAL_FOLDERS.get(spark.sparkContext.applicationId)
+    if folder is None:
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="plotweave-")
-    return _LOCAL_FOLDERS[context.applicationId]
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +53,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing will read again."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input that comes in fewer pieces than there are cores.
 
