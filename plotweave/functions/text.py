@@ -54,26 +54,48 @@ def recency_key(text: Column) -> Column:
 
 
 def parse_year_bound(text: Column) -> Column:
-    """A year bound typed by a person: digits only, otherwise no bound."""
+    """A year bound typed by a person: digits only, otherwise no bound.
+
+    A number of any length is a bound: past the range of a long it is that range's end, which no
+    year reaches either.
+    """
     bare = strip(text)
-    return F.when(bare.rlike("^[0-9]+$"), bare.try_cast("int"))
+    number = F.coalesce(bare.try_cast("bigint"), F.lit((1 << 63) - 1))
+    return F.when(bare.rlike("^[0-9]+$"), number)
+
+
+# Letters whose title form is one character other than their capital (digraphs, Greek with a
+# subscript, Georgian), each with that form.
+_TITLE_FORMS = {
+    c: c.title() for c in map(chr, range(0x180, 0x2000))
+    if len(c.title()) == 1 and c.title() != c.upper()}
 
 
 def title_case(text: Column) -> Column:
-    """Upper-case the first letter of every letter run, lower-case the rest of it."""
+    """Title form for the first letter of every run of cased letters, lower case for the rest.
+
+    A letter without case (as in most scripts) ends a run like any other character.
+    """
+    before, after = "".join(_TITLE_FORMS), "".join(_TITLE_FORMS.values())
 
     def cased(run: Column) -> Column:
+        head = F.left(run, F.lit(1))
+        special = F.translate(head, before, after)
         # A first letter that grows when raised (ß) keeps only its first half capital.
-        raised = F.concat(F.upper(F.left(run, F.lit(1))), F.substr(run, F.lit(2)))
-        return F.concat(F.left(raised, F.lit(1)), F.lower(F.substr(raised, F.lit(2))))
-
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+        raised = F.upper(head)
+        plain = F.concat(F.left(raised, F.lit(1)), F.lower(F.substr(raised, F.lit(2))))
+        first = F.when(head.rlike(f"[{before}]"), special).otherwise(plain)
+        # Lowered behind a letter: a sigma takes its final form only after one.
+        rest = F.substr(F.lower(F.concat(F.lit("a"), F.substr(run, F.lit(2)))), F.lit(2))
+        return F.concat(first, rest)
+
+    runs = F.regexp_extract_all(text, F.lit(f"({S.CASED}+|{S.UNCASED}+)"), 1)
     return F.array_join(F.transform(runs, cased), "")
 
 
 def genre_parts(text: Column) -> Column:
     """Distinct cleaned genre names of one value (null gives an empty array)."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,|\[\]/]"), strip)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), S.GENRE_SPLIT), strip)
     kept = F.filter(parts, lambda p: ~F.lower(p).isin(*S.GENRE_NOISE))
     return F.array_distinct(F.transform(kept, title_case))
 
@@ -81,7 +103,7 @@ def genre_parts(text: Column) -> Column:
 def term_parts(text: Column) -> Column:
     """Cleaned comma-separated terms of one value, in their order."""
     parts = F.split(F.coalesce(text, F.lit("")), ",")
-    clean = F.transform(parts, lambda p: strip(F.regexp_replace(p, r"[\[\]'\"]", "")))
+    clean = F.transform(parts, lambda p: strip(F.regexp_replace(p, S.TERM_CLEAN, "")))
     return F.filter(clean, lambda p: ~F.lower(p).isin(*S.TERM_NOISE))
 
 

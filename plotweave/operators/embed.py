@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +33,43 @@ class Embedder:
     batch_size: int = S.ENCODE_BATCH
 
 
-_WORD = re.compile(r"[^\W_]+")
-_MEMO_LIMIT = 500_000
+_BETWEEN_WORDS = r"[^\pL\pN]+"
 
 
 def hashed_words(dim: int = 256) -> Embedder:
     """Default encoder: counts of hashed words, needing no model files.
 
-    A word's bucket is the first 32 bits of its MD5 modulo ``dim``.
+    A word's bucket is the first 32 bits of its MD5 modulo ``dim``. A batch is split in Arrow,
+    each of its different words is looked up once, and all texts are counted together.
     """
 
     def load() -> Encode:
-        buckets: dict[str, int] = {}
-
+        @lru_cache(maxsize=500_000)
         def bucket(word: str) -> int:
-            found = buckets.get(word)
-            if found is None:
-                if len(buckets) >= _MEMO_LIMIT:
-                    buckets.clear()
-                digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-                found = buckets[word] = int(digest[:8], 16) % dim
-            return found
+            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            return int(digest[:8], 16) % dim if word else -1
 
         def encode(texts: list[str]) -> np.ndarray:
-            counts = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                hits = [bucket(word) for word in _WORD.findall(text.lower())]
-                if hits:
-                    counts[row] = np.bincount(hits, minlength=dim)
-            return counts
+            words = pc.split_pattern_regex(
+                pc.utf8_lower(pa.array(texts, pa.string())), _BETWEEN_WORDS)
+            rows = np.repeat(np.arange(len(texts)), np.diff(np.asarray(words.offsets)))
+            coded = words.flatten().dictionary_encode()
+            buckets = np.fromiter(
+                map(bucket, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            hits = buckets[np.asarray(coded.indices)]
+            cells = (rows * dim + hits)[hits >= 0]
+            return np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim)
 
         return encode
 
     return Embedder(name=f"hashed-words-{dim}", dim=dim, load=load)
 
 
+def with_query_instruction(embedder: Embedder, text: str = S.QUERY_INSTRUCTION) -> Embedder:
+    """``embedder`` for models trained with an instruction before queries (not before passages)."""
+    return replace(embedder, query_prefix=text)
+
+
 def unit_vectors(encode: Encode, texts: list[str], embedder: Embedder) -> np.ndarray:
     """Encode in batches and scale every row to length 1 (zero rows stay zero)."""
     out = np.zeros((len(texts), embedder.dim), dtype=np.float32)

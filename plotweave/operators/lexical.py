@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +13,37 @@ from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
 
 
-def _occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """(id, doc_len, term), one row per token.
+def _counted(tokens: pa.Array) -> pa.Array:
+    """Token count and distinct tokens with their counts, for arrays of tokens.
 
-    ``explode_outer`` plus a filter on its output, because a plain ``explode`` makes Catalyst
-    add a filter below it that tokenises every text a second time.
+    The tokens of an Arrow batch are numbered once, and pairs of row and number counted.
     """
-    split = docs.select("id", X.tokens(F.col(text)).alias("t"))
-    return split.select(
-        "id", F.size("t").alias("doc_len"), F.explode_outer("t").alias("term")
-    ).filter(F.col("term").isNotNull())
-
-
-def _counted(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = np.diff(np.asarray(tokens.offsets))
+    coded = tokens.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    rows = np.repeat(np.arange(len(tokens)), sizes)
+    pairs, counts = np.unique(rows * width + np.asarray(coded.indices), return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(tokens) + 1) * width).astype(np.int32)
+    terms = pa.StructArray.from_arrays(
+        [coded.dictionary.take(pa.array(pairs % width)), pa.array(counts)], ["term", "tf"])
+    return pa.StructArray.from_arrays(
+        [pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), terms)],
+        ["doc_len", "terms"])
 
 
 def postings(docs: DataFrame, text: str = "combined_text") -> DataFrame:
     """(term, id, doc_len, tf) for documents (id, ``text``).
 
-    The document length rides along, so scoring needs no join with a length table. Terms are
-    counted before the shuffle, and its key holds the id, so a frequent term spreads evenly.
+    The document length rides along, so scoring needs no join with a length table. All tokens of a
+    document are in its row and are counted there: nothing is shuffled.
     """
-    return _counted(_occurrences(docs, text))
+    # explode_outer and a filter on its output: a plain explode makes Catalyst add a filter below
+    # it that tokenises every text a second time.
+    count = F.arrow_udf(_counted, "struct<doc_len:int,terms:array<struct<term:string,tf:bigint>>>")
+    counted = docs.select("id", count(X.tokens(F.col(text))).alias("c"))
+    return counted.select(
+        "id", "c.doc_len", F.explode_outer("c.terms").alias("t")).filter(
+        F.col("t").isNotNull()).select("t.term", "id", "doc_len", "t.tf")
 
 
 def asked_postings(
@@ -42,14 +52,11 @@ def asked_postings(
     """Postings of only the terms in ``asked``, partitioned by document.
 
     Partitioned this way they serve the term statistics and the scoring from one shuffle.
-    Counting before it would need a shuffle of its own on (term, id); the rows that move here
-    are at most the asked words of each document, and the ids spread them evenly.
     """
     wanted = asked.select("term").distinct()
     if small_batch:
         wanted = F.broadcast(wanted)
-    found = _occurrences(docs, text).join(wanted, "term", "left_semi")
-    return _counted(found.repartition("id"))
+    return postings(docs, text).join(wanted, "term", "left_semi").repartition("id")
 
 
 def corpus_stats(docs: DataFrame, text: str = "combined_text") -> DataFrame:

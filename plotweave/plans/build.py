@@ -33,6 +33,8 @@ class BuildReport:
     ann: bool
     fulltext: bool
     sources: tuple[SourceReport, ...]
+    ann_error: str | None = None
+    fulltext_error: str | None = None
 
 
 def stage_source(
@@ -72,10 +74,15 @@ def build_catalogue(
     embedder: Embedder | None = None, threshold: float = S.DUPLICATE_THRESHOLD,
     min_plot_chars: int = S.MIN_PLOT_CHARS, fulltext: bool = S.FULLTEXT,
     sub_vectors: int | None = None, cells: int | None = None,
-    tables: dict[str, DataFrame] | None = None,
+    tables: dict[str, DataFrame] | None = None, max_plot_chars: int = S.EMBED_PLOT_CHARS,
+    max_terms: int = S.MAX_TERMS, index_min_rows: int = S.INDEX_MIN_ROWS,
 ) -> BuildReport:
     """Build or rebuild the catalogue at ``path``.
 
+    A vector index is built from ``index_min_rows`` entities on. An index that cannot be built is
+    left out: the reason is stored and reported, and searches do without it (a flat scan in place
+    of the vector index, the vector arm alone in place of full text).
+
     ``tables`` gives ready DataFrames for sources by name in place of their CSV files. While a
     rebuild runs, the catalogue counts as not built.
     """
@@ -89,17 +96,30 @@ def build_catalogue(
         for rank, spec in enumerate(sources)
     ]
     rows = with_keys(union_sources([table for table, _ in staged]))
-    texts = stage(entity_texts(merge_entities(rows, embedder, threshold)), "entities")
+    texts = stage(entity_texts(
+        merge_entities(rows, embedder, threshold, max_terms=max_terms), max_plot_chars), "entities")
     total = texts.count()
     shards = C.shard_count(total)
     C.write_entities(embed(spread(texts, "id"), "combined_text", embedder), path, shards)
 
     entities = spark.read.parquet(f"{path}/entities")
-    ann = C.write_cells(
-        entities, path, embedder, sub_vectors or C.default_sub_vectors(embedder.dim), cells)
-    text_meta = C.write_fulltext(entities, path, total) if fulltext else {}
+    ann, ann_error = _best_effort(lambda: C.write_cells(
+        entities, path, embedder, sub_vectors or C.default_sub_vectors(embedder.dim), cells,
+        index_min_rows))
+    text_meta, text_error = _best_effort(
+        lambda: C.write_fulltext(entities, path, total) if fulltext else None)
     C.write_meta(spark, path, {
         "embedder": embedder.name, "dim": embedder.dim, "rows": total, "shards": shards,
-        "ann": ann, "fulltext": fulltext, "ready": True, **text_meta,
+        "ann": bool(ann), "fulltext": text_meta is not None, "ready": True,
+        "ann_error": ann_error, "fulltext_error": text_error, **(text_meta or {}),
     })
-    return BuildReport(total, ann, fulltext, tuple(report for _, report in staged))
+    return BuildReport(total, bool(ann), text_meta is not None,
+                       tuple(report for _, report in staged), ann_error, text_error)
+
+
+def _best_effort(build):
+    """What ``build`` returns and no reason, or nothing and the reason why it failed."""
+    try:
+        return build(), None
+    except Exception as error:  # whatever hinders an index, the catalogue answers without it
+        return None, f"{type(error).__name__}: {error}"[:2000]

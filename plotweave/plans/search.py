@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +24,14 @@ Scorer = Callable[[Column, Column], Column]
 # are staged as a table and joined by shuffles.
 PIN_ROWS = 20_000
 PIN_BYTES = 32 << 20
+# Asked terms (a query and a term each) that are pinned and broadcast.
+PIN_TERMS = 500_000
 # A pinned batch has at most rows * 2 * limit candidates, each a handful of numbers; the list is
 # broadcast only while that product stays within this bound.
 BROADCAST_CANDIDATES = 1_000_000
 
 VECTOR_ARM, TEXT_ARM = 0, 1
-OPTIONAL = {"min_year": "int", "max_year": "int", "genre": "string"}
+OPTIONAL = {"min_year": "bigint", "max_year": "bigint", "genre": "string"}
 
 
 def query_batch(queries: DataFrame) -> DataFrame:
@@ -125,9 +128,9 @@ def present_results(best: DataFrame) -> DataFrame:
 
 
 def finish(candidates: DataFrame, batch: DataFrame, num_results: int,
-           scorer: Scorer = lexical_scorer) -> DataFrame:
+           scorer: Scorer = lexical_scorer, rerank_chars: int = S.RERANK_CHARS) -> DataFrame:
     """Filters, re-ranking, top results, formatting."""
-    ranked = rerank(apply_filters(candidates, batch), scorer)
+    ranked = rerank(apply_filters(candidates, batch), scorer, rerank_chars)
     best = best_results(ranked, num_results)
     return present_results(best.withColumn("confidence_score", F.col("confidence")))
 
@@ -151,10 +154,28 @@ def retrieve(
 
 
 def pin(queries: DataFrame) -> tuple[DataFrame, int | None]:
-    """The normalised batch held once, with its row count when it is small."""
+    """The normalised batch held once, with its row count when it is small.
+
+    Genre patterns are tried here, so that a faulty one is named before anything runs.
+    """
     batch = query_batch(queries)
     pinned = pin_if_small(batch, PIN_ROWS, PIN_BYTES)
-    return (stage(batch, "queries"), None) if pinned is None else (pinned.df, pinned.rows)
+    held, rows = (stage(batch, "queries"), None) if pinned is None else (pinned.df, pinned.rows)
+    check_patterns(held)
+    return held, rows
+
+
+def check_patterns(batch: DataFrame) -> None:
+    """Raise a ValueError with the query and the pattern that is no regular expression."""
+    compiler = batch.sparkSession._jvm.java.util.regex.Pattern
+    patterns = batch.filter("genre <> ''").groupBy("genre").agg(
+        F.min("query_id").alias("query_id"))
+    for row in patterns.toLocalIterator():  # one partition at a time
+        try:
+            compiler.compile(row["genre"])
+        except Py4JJavaError as error:
+            raise ValueError(f"query {row['query_id']}: genre {row['genre']!r} is no regular "
+                             f"expression") from error
 
 
 def broadcastable(rows: int | None, limit: int) -> bool:
@@ -165,6 +186,7 @@ def search(
     queries: DataFrame, catalogue: Catalogue, num_results: int = S.NUM_RESULTS,
     limit: int = S.RETRIEVAL_LIMIT, fulltext: bool = S.FULLTEXT, scorer: Scorer = lexical_scorer,
     probes: int = DEFAULT_PROBES, use_codes: bool = False, use_ann: bool = True,
+    rerank_chars: int = S.RERANK_CHARS,
 ) -> DataFrame:
     """Answer a batch of queries (query_id, query[, min_year, max_year, genre]).
 
@@ -191,21 +213,20 @@ def search(
         found, catalogue,
         ("id", "title", "release_year", "genre", "plot", "combined_text"),
         rows * 2 * limit if broadcastable(rows, limit) else None))
-    return finish(candidates, batch, num_results, scorer)
+    return finish(candidates, batch, num_results, scorer, rerank_chars)
 
 
 def _stored_text_hits(batch: DataFrame, catalogue: Catalogue, limit: int, small: bool):
     asked = query_terms(batch).withColumn("bucket", catalogue.bucket_of(F.col("term")))
     index, terms = catalogue.postings, catalogue.terms
-    if small:
-        pinned = pin_if_small(asked, PIN_BYTES, PIN_BYTES)
-        if pinned is not None:
-            asked = pinned.df
-            index = only_folders(index, "bucket", pinned.values("bucket"))
-            terms = only_folders(terms, "bucket", pinned.values("bucket"))
+    pinned = pin_if_small(asked, PIN_TERMS, PIN_BYTES) if small else None
+    if pinned is not None:
+        asked = pinned.df
+        index = only_folders(index, "bucket", pinned.values("bucket"))
+        terms = only_folders(terms, "bucket", pinned.values("bucket"))
     return bm25_top_k(
         asked, index, terms, F.lit(catalogue.rows), F.lit(catalogue.meta["avg_len"]), limit,
-        partition="bucket", small_batch=small)
+        partition="bucket", small_batch=pinned is not None)
 
 
 def look_up(hits: DataFrame, catalogue: Catalogue, columns: tuple[str, ...],

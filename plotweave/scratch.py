@@ -42,15 +42,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/plotweave/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back.
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once as a Parquet table in the shared folder; the table and its path.
 
     The copy cuts the lineage, prunes columns for every later reader and carries file sizes,
     from which Catalyst decides whether a side is small enough to broadcast.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stage_at`, for a table that lives as long as the application."""
+    return stage_at(df, name)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

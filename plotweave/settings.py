@@ -37,6 +37,11 @@ NA_TOKENS = (
 )
 GENRE_NOISE = ("unknown", "back to top", "nan", "none", "")
 TERM_NOISE = ("unknown", "nan", "")
+GENRE_SPLIT = r"[,|\[\]/]"
+TERM_CLEAN = r"[\[\]'\"]"
+# Characters with case, in the regular expressions of the JVM, and all others.
+CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
+UNCASED = r"[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
 UNKNOWN = "Unknown"
 YEAR_RANGE = (1880, 2030)
 

@@ -6,6 +6,7 @@ one film: its first three words are the title, the whole text is the plot.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,8 +143,14 @@ def q_tokens(x: str) -> str:
 
 
 def q_title_case(x: str) -> str:
-    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)'), "
-            "lambda r: case r[1] when 'ß' then 'Ss' else upper(r[1]) end || lower(r[2:])), '')")
+    """Character by character: a letter with case behind one without (or at the start) is raised.
+
+    Stated apart from the expression it is compared with, which works on runs of a pattern.
+    """
+    here, before = f"substr({x}, i, 1)", f"substr({x}, i - 1, 1)"
+    return (f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: case "
+            f"when i > 1 and lower({before}) <> upper({before}) then lower({here}) "
+            f"when {here} = 'ß' then 'Ss' else upper({here}) end), '')")
 
 
 def q_percent(x: str) -> str:
@@ -361,10 +368,14 @@ def normalise_title(spark, sf_dir):
         "page_id", X.normalize_title(title).alias("title_key"))
 
 
+_MIXED = "\u65e5\u672cabc \ud55c\uad6dFILM o'neil"
+
+
 @register("title_case", f"""
-select page_id, {q_title_case(_PAGE_TITLE)} shown from pages""")
+with titles as (select page_id, {_PAGE_TITLE} || ' {_MIXED.replace("'", "''")}' t from pages)
+select page_id, {q_title_case('t')} shown from titles""")
 def title_case(spark, sf_dir):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(f" {_MIXED}"))
     return table(spark, sf_dir, "pages").select("page_id", X.title_case(title).alias("shown"))
 
 
@@ -571,25 +582,97 @@ def _cells(spark, sf_dir, **options) -> tuple[DataFrame, V.CellIndex]:
     return items, V.build_cells(items, VECTOR_DIM, **options)
 
 
-@register("ivf_search")
+def _label_centres(spark, sf_dir) -> np.ndarray:
+    """Mean vector of each label, at six places: centres and code entries that SQL can state."""
+    means = table(spark, sf_dir, "embeddings").groupBy("label").agg(
+        F.array(*[F.round(F.avg(F.col("embedding")[i].cast("double")), 6)
+                  for i in range(VECTOR_DIM)]).alias("m")).orderBy("label").collect()
+    return np.array([r["m"] for r in means])
+
+
+_Q_CENTRES = f"""
+parts as (
+  select vec_id, label, generate_subscripts(embedding, 1) i, unnest(embedding)::double x
+  from embeddings),
+means as (select label, i, round(avg(x), 6) m from parts group by all),
+centres as (
+  select row_number() over (order by label) - 1 cell, list(m order by i) m
+  from means group by label)"""
+
+_Q_IVF = f"""
+with {_Q_CENTRES},
+near as (
+  select vec_id, cell, embedding::double[] v,
+         row_number() over (partition by vec_id order by
+           list_inner_product(m, embedding::double[]) desc, cell) own,
+         row_number() over (partition by vec_id order by
+           round(list_inner_product(m, embedding::double[]), 6) desc, cell) place
+  from embeddings, centres),
+hits as (
+  select q.vec_id query_id, c.vec_id id, round(list_inner_product(q.v, c.v), 6) score
+  from near q join near c on q.cell = c.cell and q.place <= {{probes}} and c.own = 1)
+select query_id, id, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, id) rank from hits)
+where rank <= {NEIGHBOURS}"""
+
+
+@register("ivf_search", _Q_IVF.format(probes=4))
 def ivf_search(spark, sf_dir):
-    items, index = _cells(spark, sf_dir)
-    return V.ann_search(vector_queries(items), index, NEIGHBOURS, probes=8)
+    """Cells around given centres, of which each query reads four."""
+    centres = _label_centres(spark, sf_dir)
+    items, index = _cells(spark, sf_dir, centres=centres)
+    return V.ann_search(vector_queries(items), index, NEIGHBOURS, probes=4)
 
 
 @register("ivf_search_all_cells", _Q_KNN)
 def ivf_search_all_cells(spark, sf_dir):
-    """Probing every cell must give the exact neighbours."""
+    """Probing every one of the fitted cells must give the exact neighbours."""
     items, index = _cells(spark, sf_dir)
     everything = V.cell_count(items.count())
     return V.ann_search(vector_queries(items), index, NEIGHBOURS, probes=everything)
 
 
-@register("pq_search")
+_SUBS, _WIDTH, _REFINE = 16, VECTOR_DIM // 16, 10
+
+
+@register("pq_search", f"""
+with {_Q_CENTRES},
+slices as (
+  select vec_id, s, embedding[s * {_WIDTH} + 1:(s + 1) * {_WIDTH}]::double[] x
+  from embeddings, range({_SUBS}) t(s)),
+books as (select cell code, s, m[s * {_WIDTH} + 1:(s + 1) * {_WIDTH}] e from centres, range({_SUBS}) t(s)),
+coded as (
+  select vec_id, s, arg_min(e, (list_inner_product(e, e) - 2 * list_inner_product(x, e), code)) e
+  from slices join books using (s) group by all),
+decoded as (select vec_id, flatten(list(e order by s)) v from coded group by vec_id),
+rough as (
+  select q.vec_id query_id, d.vec_id id, round(list_inner_product(q.embedding::double[], d.v), 6) r
+  from embeddings q, decoded d),
+short as (select * from (
+  select *, row_number() over (partition by query_id order by r desc, id) n from rough)
+  where n <= {NEIGHBOURS * _REFINE}),
+exact as (
+  select query_id, id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) score
+  from short join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = id)
+select query_id, id, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, id) rank from exact)
+where rank <= {NEIGHBOURS}""")
 def pq_search(spark, sf_dir):
-    items, index = _cells(spark, sf_dir, sub_vectors=16)
-    return V.ann_search(
-        vector_queries(items), index, NEIGHBOURS, probes=V.DEFAULT_PROBES, use_codes=True)
+    """Search on codes of given books in all cells; the short list is scored again exactly."""
+    centres = _label_centres(spark, sf_dir)
+    books = np.ascontiguousarray(centres.reshape(-1, _SUBS, _WIDTH).transpose(1, 0, 2))
+    items, index = _cells(spark, sf_dir, centres=centres, codebooks=books)
+    return V.ann_search(vector_queries(items), index, NEIGHBOURS, probes=len(centres),
+                        refine=_REFINE, use_codes=True)
+
+
+@register("pq_search_fitted", _Q_KNN)
+def pq_search_fitted(spark, sf_dir):
+    """Fitted cells and books; a short list of every row must give the exact neighbours."""
+    items, index = _cells(spark, sf_dir, sub_vectors=_SUBS)
+    rows = items.count()
+    return V.ann_search(vector_queries(items), index, NEIGHBOURS, probes=V.cell_count(rows),
+                        refine=-(-rows // NEIGHBOURS), use_codes=True)
 
 
 @register("similar_items", f"""
@@ -752,10 +835,12 @@ def catalogue_search(spark, sf_dir):
     return search_plan.search(batch(spark, sf_dir), catalogue, use_ann=False)
 
 
-@register("catalogue_search_ann")
+@register("catalogue_search_ann", ORACLES["catalogue_search"])
 def catalogue_search_ann(spark, sf_dir):
+    """Through the vector index, reading all cells: the result of the flat scan."""
     catalogue = open_catalogue(spark, catalogue_path(spark, sf_dir), EMBEDDER)
-    return search_plan.search(batch(spark, sf_dir), catalogue)
+    return search_plan.search(
+        batch(spark, sf_dir), catalogue, probes=V.cell_count(catalogue.rows))
 
 
 @register("catalogue_similar", f"""

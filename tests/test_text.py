@@ -1,5 +1,7 @@
 """Scalar expressions against expected values."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,6 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import scores as P
 from plotweave.functions import text as X
-from plotweave.functions import vectors as VX
 
 
 def apply(spark, fn, values, kind="string"):
@@ -53,7 +54,7 @@ def test_recency_key_has_no_range_check(spark):
 def test_year_bound(spark):
     check(spark, X.parse_year_bound, [
         (" 1990 ", 1990), ("19a0", None), ("", None), ("-5", None), ("²", None), (None, None),
-        ("99999999999999", None),
+        ("99999999999999", 99999999999999), ("9" * 30, (1 << 63) - 1),
     ])
 
 
@@ -142,8 +143,10 @@ def test_sigmoid(spark):
     assert apply(spark, P.sigmoid, [0.0, 2.0], "double") == pytest.approx([0.5, 0.880797078])
 
 
-def test_vector_expressions(spark):
-    unit = apply(spark, VX.l2_normalise, [[3.0, 4.0], [0.0, 0.0]], "array<float>")
-    assert unit[0] == pytest.approx([0.6, 0.8], abs=1e-7)
-    assert unit[1] == [0.0, 0.0]
-    assert apply(spark, lambda v: VX.dot(v, v), [[3.0, 4.0]], "array<float>") == [25.0]
+def test_title_case_follows_the_rule_of_cased_letters(spark):
+    texts = ["日本abc", "한국film", "ǆungla", "o'NEIL", "ΟΔΟΣ ΣΣ", "ßeta a1b2", "ﬁn", "ქართული X"]
+    pool = [chr(c) for c in (*range(32, 0x130), 0x1C4, 0x1C5, 0x1C6, *range(0x391, 0x3A2),
+                             *range(0x3A4, 0x3C2), *range(0x3C4, 0x3CA), *range(0x410, 0x450), 0x65E5, 0xD55C, 0x5D0)]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(pool) for _ in range(9)) for _ in range(2000)]
+    assert apply(spark, X.title_case, texts) == [t.title() for t in texts]
