@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,7 +173,7 @@ def check_patterns(batch: DataFrame) -> None:
     for row in patterns.toLocalIterator():  # one partition at a time
         try:
             compiler.compile(row["genre"])
-        except Py4JJavaError as error:
+        except IllegalArgumentException as error:
             raise ValueError(f"query {row['query_id']}: genre {row['genre']!r} is no regular "
                              f"expression") from error
 

@@ -17,12 +17,12 @@ from plotweave.operators import lexical, merge, prepare
 from plotweave.operators import vector_search as V
 from plotweave.operators.embed import embed, hashed_words
 from plotweave.plans import search as search_plan
-from plotweave.plans.build import build_catalogue, entity_texts
+from plotweave.plans.build import build_catalogue, entity_texts, stage_source
 from plotweave.plans.present import page_counts, paged, result_cards
 from plotweave.plans.similar import neighbours, present_similar, similar
 from plotweave.scratch import scratch_path, spread, stage
 from plotweave.sources.catalogue import open_catalogue
-from plotweave.sources.specs import SourceSpec
+from plotweave.sources.specs import SourceSpec, film_sources, read_csv
 
 EMBEDDER = hashed_words()
 VECTOR_DIM = 64
@@ -379,6 +379,125 @@ def title_case(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.title_case(title).alias("shown"))
 
 
+# --- Text files --------------------------------------------------------------------------------
+
+_NA_LIST = ", ".join("'" + token + "'" for token in S.NA_TOKENS)
+
+
+def _as_csv(df: DataFrame, name: str, spark: SparkSession) -> str:
+    """``df`` as one CSV file in the shared folder, in the order of its first column.
+
+    One task writes it: it stands for a file that somebody else wrote.
+    """
+    path = scratch_path(spark, name)
+    df.orderBy(df.columns[0]).coalesce(1).write.options(
+        header="true", quote='"', escape='"', quoteAll="true", nullValue="", emptyValue="").csv(path)
+    return path
+
+
+def _texts_with_marks(spark, sf_dir) -> DataFrame:
+    """Documents with doubled quotes, commas, line breaks and missing-value words."""
+    kind = F.col("doc_id") % 7
+    marked = (F.when(kind == 0, F.concat(F.lit('a "quoted", b\n'), F.col("text")))
+              .when(kind == 1, "NA").when(kind == 2, "nan").when(kind == 3, "")
+              .otherwise(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", marked.alias("body"), "source")
+
+
+@register("csv_scan", f"""
+with marked as (
+  select doc_id, source, case doc_id % 7 when 0 then 'a "quoted", b' || chr(10) || text
+    when 1 then 'NA' when 2 then 'nan' when 3 then '' else text end body from documents)
+select doc_id::varchar doc_id, case when body not in ({_NA_LIST}) then body end body, source
+from marked""")
+def csv_scan(spark, sf_dir):
+    """A CSV with every column as text; missing-value words come back as nulls."""
+    path = _as_csv(_texts_with_marks(spark, sf_dir), "documents-csv", spark)
+    return read_csv(spark, SourceSpec(name="documents", path=path, title="doc_id"))
+
+
+#: Newest rows of each source in the registered build; None takes all.
+_LIMITS = {"wiki": 40, "imdb": None, "movieverse": None}
+
+_Q_SOURCES = f"""
+with {Q_FILMS},
+split as (
+  select *, case doc_id % 3 when 0 then 'wiki' when 1 then 'imdb' else 'movieverse' end src
+  from films where length({q_strip('plot')}) >= {S.MIN_PLOT_CHARS}),
+ranked as (
+  select *, row_number() over (partition by src order by release_year::int desc, doc_id) n
+  from split)
+select src source, doc_id::varchar title, release_year from ranked
+where src <> 'wiki' or n <= {_LIMITS['wiki']}"""
+
+
+@register("source_profile", _Q_SOURCES)
+def source_profile(spark, sf_dir):
+    """The three sources of the full profile from their files, one cut to its newest rows and one
+    freed of its limit."""
+    rows = films(spark, sf_dir)
+    folder = scratch_path(spark, "film-files")
+    for i, spec in enumerate(film_sources(folder, limit_newest=_LIMITS)):
+        own = rows.filter(F.col("src_ord") % 3 == i).select(
+            F.col("src_ord").alias(spec.title), F.col("release_year").alias(spec.year),
+            F.col("plot").alias(spec.plot), F.col("genre").alias(spec.genre))
+        own.orderBy(spec.title).coalesce(1).write.options(
+            header="true", quote='"', escape='"', quoteAll="true").csv(spec.path)
+    staged = [stage_source(spark, spec, i, S.MIN_PLOT_CHARS)[0]
+              for i, spec in enumerate(film_sources(folder, limit_newest=_LIMITS))]
+    return prepare.union_sources(staged).select("source", "title", "release_year")
+
+
+def _guarded_batch(spark, sf_dir) -> DataFrame:
+    """Passages of pages as queries: blank ones, bounds past any year, and plain ones."""
+    kind = F.col("page_id") % 5
+    digits = (F.when(kind == 1, "99999999999").when(kind == 2, "9" * 25).when(kind == 3, " 1970 ")
+              .otherwise("19x0"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("query_id"),
+        F.when(kind == 0, F.lit(" \n\t ")).otherwise(
+            F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("query"),
+        X.parse_year_bound(digits).alias("min_year"))
+
+
+_Q_GUARDED = f"""
+asked as (
+  select page_id query_id, {q_strip(_PAGE_TITLE)} query,
+         case page_id % 5 when 1 then 99999999999 when 2 then 9223372036854775807 when 3 then 1970
+         end::bigint min_year
+  from pages where page_id % 5 <> 0 and {q_strip(_PAGE_TITLE)} <> '')"""
+
+
+@register("blank_queries", f"""
+with {_Q_GUARDED} select query_id, query, min_year::varchar min_year from asked""")
+def blank_queries(spark, sf_dir):
+    """Blank queries leave the batch, year bounds of any length stay numbers."""
+    return search_plan.query_batch(_guarded_batch(spark, sf_dir)).select(
+        "query_id", "query", F.col("min_year").cast("string").alias("min_year"))
+
+
+@register("filter_guards", f"""
+with {_Q_GUARDED}, {Q_FILMS},
+entities as (
+  select doc_id id, case when doc_id % 4 = 0 then 'Unknown' else release_year end release_year,
+         case when doc_id % 3 <> 0 then genre end genre from films),
+cand as (select query_id, id, release_year, genre, min_year
+         from asked join entities on id % 50 = query_id % 50)
+select query_id, id, release_year, genre from cand
+where min_year is null or try_cast(release_year as double) >= min_year""")
+def filter_guards(spark, sf_dir):
+    """Bounds against unknown years and null genres; where nothing fits, no row is left."""
+    asked = search_plan.query_batch(_guarded_batch(spark, sf_dir))
+    entities = films(spark, sf_dir).select(
+        F.col("src_ord").alias("id"),
+        F.when(F.col("src_ord") % 4 == 0, S.UNKNOWN).otherwise(
+            F.col("release_year")).alias("release_year"),
+        F.when(F.col("src_ord") % 3 != 0, F.col("genre")).alias("genre"))
+    met = asked.select("query_id", (F.col("query_id") % 50).alias("at")).join(
+        entities.withColumn("at", F.col("id") % 50), "at")
+    return search_plan.apply_filters(met, asked).select("query_id", "id", "release_year", "genre")
+
+
 # --- Merging ---------------------------------------------------------------------------------
 
 _Q_KEYED = Q_FILMS + f""",
