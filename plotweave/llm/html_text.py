@@ -49,6 +49,10 @@ _READERS = frozenset((
     "comment comments commentlist disqus respond reply replies discussion related recommended "
     "recommendations footer").split())
 
+#: Words that name what holds the article where no element says so.
+_HOLDS = frozenset(("article", "content", "entry", "main", "post", "story"))
+_SCOPES = ("article", "main", "content")
+
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)                                        # comment
       | <[!?][^>]*(?:>|\Z)                                       # declaration
@@ -82,6 +86,7 @@ class Block:
     beside: bool = False
     scope: str = ""
     heading: bool = False
+    parent: int = 0
     label: str = field(default="", compare=False)
 
 
@@ -108,8 +113,9 @@ def blocks_of(page: str) -> list[Block]:
     Tolerates open tags and quotes and a page that breaks off anywhere.
     """
     found: list[Block] = []
-    # name, beside the article, for good, scope
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
+    # name, beside the article, for good, scope, number
+    stack: list[tuple[str, bool, bool, str, int]] = [("", False, False, "", 0)]
+    elements = 0
     pieces: list[str] = []
     links, in_link, heading = 0, 0, False
 
@@ -117,8 +123,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, heading
         text = " ".join(references.unescape("".join(pieces)).split())
         if text:
-            _, beside, _, scope = stack[-1]
-            found.append(Block(text, links, beside, scope, heading))
+            _, beside, _, scope, number = stack[-1]
+            found.append(Block(text, links, beside, scope, heading, number))
         pieces.clear()
         links, heading = 0, False
 
@@ -167,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
         heading = name in _HEADINGS
         words, hidden, body = _hints(match["rest"]) if "=" in match["rest"] or (
             "hidden" in match["rest"]) else (frozenset(), False, False)
-        _, beside, for_good, scope = stack[-1]
+        _, beside, for_good, scope, _ = stack[-1]
         nested = name == "article" and scope == "article"
         opens = (name in ("article", "main") or body) and not nested
         outer = "header" in words or name == "header"
@@ -175,14 +181,16 @@ def blocks_of(page: str) -> list[Block]:
         side = bool(words & _BESIDE) or name in _PAGE_PARTS or (outer and scope != "article")
         if plain and not (readers or side):
             continue
-        if opens and not readers and not for_good:
+        elements += 1
+        if plain or (opens and not readers and not for_good):
             flush()
-            stack.append((name, False, False, "main" if name == "main" else "article"))
-        else:
-            if plain:
-                flush()
-            stack.append((name, beside or readers or (side and not opens), for_good or readers,
-                          scope))
+        if opens and not readers and not for_good:
+            stack.append((name, False, False, "main" if name == "main" else "article", elements))
+            continue
+        if not scope and not (beside or readers or side) and words & _HOLDS:
+            scope = "content"
+        stack.append((name, beside or readers or (side and not opens), for_good or readers,
+                      scope, elements))
     flush()
     return found
 
@@ -215,12 +223,13 @@ def main_blocks(page: str, rules: BlockRules = BlockRules()) -> list[str]:
     words. Then the nearly good and after them the short blocks take the label of the nearest
     decided ones: inside an article or main element a block goes only if both sides are bad;
     elsewhere a nearly good one stays if either side is good (or no block of the page is), a
-    short one if both are (a heading: if the next one is). On a page with an article (else a
-    main) element only what is inside can stay.
+    short one if both are or one in the same element is (a heading: if the next one is). On a
+    page with an article element (else a main one, else one named as holding the content) only
+    what is inside can stay.
     """
     blocks = blocks_of(page)
     scopes = {b.scope for b in blocks if not b.beside}
-    scope = "article" if "article" in scopes else "main" if "main" in scopes else ""
+    scope = next((s for s in _SCOPES if s in scopes), "")
     if scope:  # what stands beside the article takes no part, also not as a neighbour
         blocks = [b for b in blocks if b.scope == scope and not b.beside]
     for block in blocks:
@@ -233,26 +242,31 @@ def main_blocks(page: str, rules: BlockRules = BlockRules()) -> list[str]:
 
 def _inherit(blocks: list[Block], waiting: str, edge: str, inside: bool) -> None:
     """Second pass over the blocks labelled ``waiting``: labels of the nearest decided ones."""
-    before, nearest = [], edge
+    border = Block(label=edge, parent=-1)
+    before, nearest = [], border
     for block in blocks:
         before.append(nearest)
         if block.label in ("good", "bad"):
-            nearest = block.label
+            nearest = block
     alone = not inside and waiting == "near" and not any(b.label == "good" for b in blocks)
-    nearest = edge
-    for block, left in zip(reversed(blocks), reversed(before)):
+    after, nearest, decided = [], border, {}
+    for block in reversed(blocks):
+        after.append(nearest)
         if block.label in ("good", "bad"):
-            nearest = block.label
-        elif block.label == waiting:
-            if inside or waiting == "near":
-                good = alone or "good" in (left, nearest)
-            elif block.heading:
-                good = nearest == "good"
-            else:
-                good = left == nearest == "good"
-            block.label = "=good" if good else "=bad"
-    for block in blocks:
-        block.label = block.label.removeprefix("=")
+            nearest = block
+    for i, (block, left, right) in enumerate(zip(blocks, before, reversed(after))):
+        if block.label != waiting:
+            continue
+        if inside or waiting == "near":
+            good = alone or "good" in (left.label, right.label)
+        elif block.heading:
+            good = right.label == "good"
+        else:  # beside a bad block only as the good one's own kin
+            good = any(n.label == "good" and n.parent == block.parent for n in (left, right)) or (
+                left.label == right.label == "good")
+        decided[i] = "good" if good else "bad"
+    for i, label in decided.items():
+        blocks[i].label = label
 
 
 def extract_text(pages: DataFrame, rules: BlockRules = BlockRules(),

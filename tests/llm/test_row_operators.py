@@ -174,6 +174,22 @@ def test_pages_without_an_article_element():
         "Head", good.strip(), "Short one", good.strip()]
 
 
+def test_pages_whose_names_say_what_they_hold():
+    page = """<body><div id="nav-top">Home</div><div class="wrapper"><div id="main-content">
+      <h1>Head</h1><p>Tiny.<p>Also tiny.<div class="postComments"><p>I say so.</div>
+      <div class="newsletter-box">Sign up</div><p>End.</div>
+      <div id="sidebar"><div class="content">Other things</div></div></div>
+      <div class=ad><div class=post>Buy</div></div><p>Rest</body>"""
+    assert html_text.main_blocks(page) == ["Head", "Tiny.", "Also tiny.", "End."]
+
+
+def test_short_blocks_follow_their_kin():
+    good = "It is one of the texts that are in the page and they have to be kept by all of us. " * 3
+    page = (f"<ul><li><a>Home</a></ul><div><p>First.<p>{good}<p>Last.</div>"
+            "<div><p>Stray</div><ul><li><a>About us</a></ul>")
+    assert html_text.main_blocks(page) == ["First.", good.strip(), "Last."]
+
+
 def test_extracting_pages(spark):
     long = "<article>" + "<p>The end of it all.</p>" * 5000 + "</article>"
     pages = spark.createDataFrame(
