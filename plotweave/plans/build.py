@@ -12,7 +12,7 @@ from plotweave.functions import text as X
 from plotweave.operators.embed import Embedder, embed, hashed_words
 from plotweave.operators.merge import merge_entities, with_keys
 from plotweave.operators.prepare import canonicalise, newest_n, quality_gate, union_sources
-from plotweave.scratch import spread, stage
+from plotweave.scratch import discard, spread, stage_at
 from plotweave.sources import catalogue as C
 from plotweave.sources.specs import SourceSpec, read_csv
 
@@ -39,10 +39,12 @@ class BuildReport:
 
 def stage_source(
     spark: SparkSession, spec: SourceSpec, src_rank: int, min_plot_chars: int,
-    table: DataFrame | None = None,
+    table: DataFrame | None = None, done_with: list[str] | None = None,
 ) -> tuple[DataFrame, SourceReport]:
     """Scan, map and gate one source into a staged Parquet table, then cut it to the newest N.
 
+    Where that table lies is added to ``done_with``, for a caller who deletes it after use.
+
     The text file is parsed once; the cut reads only two narrow columns of the staged copy.
     """
     raw = read_csv(spark, spec) if table is None else table
@@ -50,7 +52,9 @@ def stage_source(
     rows = canonicalise(raw, spec, src_rank)
     if table is None:
         rows = spread(rows, "src_ord")
-    staged = stage(quality_gate(rows, min_plot_chars, seen), "source")
+    staged, path = stage_at(quality_gate(rows, min_plot_chars, seen), "source")
+    if done_with is not None:
+        done_with.append(path)
     counts = seen.get
     passed = counts["rows"] - counts["dropped"]
     kept = passed
@@ -91,17 +95,21 @@ def build_catalogue(
     C.write_meta(spark, path, {"ready": False})
 
     tables = tables or {}
+    done_with: list[str] = []
     staged = [
-        stage_source(spark, spec, rank, min_plot_chars, tables.get(spec.name))
+        stage_source(spark, spec, rank, min_plot_chars, tables.get(spec.name), done_with)
         for rank, spec in enumerate(sources)
     ]
     rows = with_keys(union_sources([table for table, _ in staged]))
-    texts = stage(entity_texts(
+    texts, texts_path = stage_at(entity_texts(
         merge_entities(rows, embedder, threshold, max_terms=max_terms), max_plot_chars), "entities")
     total = texts.count()
     shards = C.shard_count(total)
     C.write_entities(embed(spread(texts, "id"), "combined_text", embedder), path, shards)
 
+    for staged_path in (*done_with, texts_path):
+        discard(spark, staged_path)
+
     entities = spark.read.parquet(f"{path}/entities")
     ann, ann_error = _best_effort(lambda: C.write_cells(
         entities, path, embedder, sub_vectors or C.default_sub_vectors(embedder.dim), cells,

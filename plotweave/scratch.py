@@ -38,8 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_folder(spark)}/plotweave/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/plotweave/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet read are lost with
+    them, stored catalogues are not."""
+    discard(spark, scratch_folder(spark))
 
 
 def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:

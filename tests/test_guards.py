@@ -129,6 +129,18 @@ def test_an_index_that_fails_is_left_out(spark, tmp_path, monkeypatch):
     assert plotweave.search(asked, catalogue).collect() == want
 
 
+def test_a_build_deletes_its_intermediate_tables(spark, tmp_path):
+    def kept():
+        return [f for f in os.listdir(scratch.scratch_folder(spark).removeprefix("file://"))
+                if f.startswith(("source", "entities"))]
+
+    scratch.stage(spark.range(1), "other")
+    before = len(kept())
+    plotweave.build_catalogue(
+        spark, [SPEC], str(tmp_path / "c"), EMBEDDER, tables={"films": films(spark)})
+    assert len(kept()) == before
+
+
 def test_the_size_from_which_an_index_is_built(spark, tmp_path):
     path = str(tmp_path / "c")
     report = plotweave.build_catalogue(
@@ -181,7 +193,7 @@ def test_large_groups_leave_no_rounds_behind(spark):
     merged = merge.merge_plots(group_of(spark, 300), embedder, max_group=10, head_rows=40,
                                rows_per_task=50).collect()
     assert merged[0]["plot"].count("\n\n") == 299
-    left = os.listdir(os.path.join(scratch.shared_folder(spark).removeprefix("file://"), "plotweave"))
+    left = os.listdir(scratch.scratch_folder(spark).removeprefix("file://"))
     assert not [f for f in left if f.startswith(("open-plots", "decided"))]
 
 
