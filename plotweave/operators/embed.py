@@ -62,7 +62,7 @@ def hashed_words(dim: int = 256) -> Embedder:
 
         return encode
 
-    return Embedder(name=f"hashed-words-{dim}", dim=dim, load=load)
+    return Embedder(name=f"hashed-words-{dim}", dim=dim, load=load, batch_size=1024)
 
 
 def with_query_instruction(embedder: Embedder, text: str = S.QUERY_INSTRUCTION) -> Embedder:
