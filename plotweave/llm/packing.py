@@ -97,10 +97,28 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
+#: Copies of one row that are numbered by one task at a time.
+COPIES_A_RUN = 10_000
+
 PACKED = ("doc_id", "part", "n_parts", "first_token", "n_tokens", "bin_id", "bin_length",
           "bin_tokens", "place")
 
 
+def _numbered(alike: DataFrame) -> DataFrame:
+    """Each row as often as ``copies`` says, numbered from 0 in ``copy``.
+
+    Rows with many copies are first cut into runs, which are dealt out to all tasks.
+    """
+    size = F.lit(COPIES_A_RUN).cast("long")
+    few = alike.where(F.col("copies") <= size).withColumn("run", F.lit(0).cast("long"))
+    many = alike.where(F.col("copies") > size).withColumn("run", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / size)))).repartition(
+        "doc_id", "mark", "run")
+    first = F.col("run") * size
+    return few.unionByName(many).withColumn("copy", F.explode(F.sequence(
+        first, F.least(F.col("copies"), first + size) - 1)))
+
+
 def pack_documents(docs: DataFrame, tokens: Column | None = None, lengths: Lengths = Lengths(),
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's pieces with the sequence they are in.
@@ -115,8 +133,9 @@ def pack_documents(docs: DataFrame, tokens: Column | None = None, lengths: Lengt
     empty table gives an empty one. Other columns take no part.
 
     Ids and sizes alone are shuffled. Pieces are dealt to blocks of about ``lengths.block`` by a
-    hash of the id, the text's hash and the part, so the block of a piece and with it the packing
-    do not depend on partitions; every block is one bounded group, and its bins are its own.
+    hash of the id, the text's hash, the part and, among rows equal in these, a running number. So
+    the block of a piece and with it the packing do not depend on partitions, and repeated rows,
+    however many, are spread over all blocks; every block is one bounded group, with its own bins.
     """
     most = max(lengths.sizes) - lengths.separator
     if most < 1 or min(lengths.sizes) < 1:
@@ -125,15 +144,17 @@ def pack_documents(docs: DataFrame, tokens: Column | None = None, lengths: Lengt
     counted, _ = staged(docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), count.cast("long").alias("total"),
         F.xxhash64(F.col(f"`{text}`")).alias("mark")), "pack-sizes")
-    pieces = counted.where("total > 0").select(
-        "doc_id", "mark", "total", F.ceil(F.col("total") / most).cast("int").alias("n_parts"))
-    n = pieces.agg(F.sum("n_parts")).first()[0] or 0
+    alike, _ = staged(counted.where("total > 0").groupBy("doc_id", "mark", "total").agg(
+        F.count(F.lit(1)).alias("copies")).withColumn(
+        "n_parts", F.ceil(F.col("total") / most).cast("int")), "pack-rows")
+    n = alike.agg(F.sum(F.col("n_parts") * F.col("copies"))).first()[0] or 0
     blocks = max(1, -(-int(n) // lengths.block))
-    cut = pieces.select("doc_id", "mark", "total", "n_parts", F.explode(
+    cut = _numbered(alike).select("doc_id", "mark", "total", "n_parts", "copy", F.explode(
         F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part")).select(
         "doc_id", "mark", "part", "n_parts", (F.col("part").cast("long") * most).alias("first_token"),
         F.least(F.lit(most), F.col("total") - F.col("part").cast("long") * most).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "mark", "part"), F.lit(blocks)).cast("int").alias("block"))
+        F.pmod(F.xxhash64("doc_id", "mark", "part", "copy"), F.lit(blocks)).cast("int").alias(
+            "block"))
     kinds = dict(counted.dtypes)["doc_id"]
 
     def packed(table: pa.Table) -> pa.Table:
