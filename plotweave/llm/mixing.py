@@ -68,16 +68,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
     Iterative proportional fitting: in turn, for each marginal, the weights of a category are
     scaled so that they add up to its target, round after round. A target for a category without
     tokens cannot be met and is left out; a category without a target gets weight 0; the rest of
-    each marginal's targets is scaled to one. Weights begin in proportion to the tokens.
+    each marginal's targets is scaled to one; those named twice add up, and a null or negative one
+    is 0. Weights begin in proportion to the tokens.
     """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    targets = {by: target.groupBy(by).agg(F.sum(F.greatest(
+        F.col("target").cast("double"), F.lit(0.0))).alias("target"))
+        for by, target in targets.items()}
     for by, target in targets.items():
-        fitted = fitted.join(target.select(by, F.greatest(
-            F.col("target").cast("double"), F.lit(0.0)).alias(f"target_{by}")), by, "left")
+        fitted = fitted.join(target.withColumnRenamed("target", f"target_{by}"), by, "left")
     fitted = fitted.fillna(0.0, [f"target_{by}" for by in targets])
     for by, target in targets.items():
         total = target.join(cells.select(by).distinct(), by).agg(
-            F.sum(F.greatest(F.col("target"), F.lit(0.0)))).first()[0] or 1.0
+            F.sum("target")).first()[0] or 1.0
         fitted = fitted.withColumn(f"target_{by}", F.col(f"target_{by}") / total)
     fitted = _gathered(staged(fitted, "mix-targets")[0])
     for at in range(rounds):
@@ -94,7 +97,7 @@ def _gathered(cells: DataFrame) -> DataFrame:
     return cells.coalesce(1) if cells.count() <= LOCAL_CELLS else cells
 
 
-def calibrated(cells: DataFrame, keep: float, steps: int = 30) -> DataFrame:
+def calibrated(cells: DataFrame, keep: float) -> DataFrame:
     """``cells`` with probability: min(1, c * weight / tokens), with c such that the expected
     tokens are ``keep`` of all (or all with a weight, if these are fewer).
 
@@ -104,7 +107,7 @@ def calibrated(cells: DataFrame, keep: float, steps: int = 30) -> DataFrame:
     cells, _ = staged(cells.withColumn("ratio", F.col("weight") / F.col("tokens")), "mix-cells")
     wanted = keep * (cells.agg(F.sum("tokens")).first()[0] or 0)
     factor = 0.0
-    for _ in range(steps):
+    while True:
         full = factor * F.col("ratio") >= 1.0
         capped, free = cells.agg(
             F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)),
