@@ -32,10 +32,12 @@ BLOCK_SCORES = 1 << 21
 
 def quantised(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component; null for a null vector or one with a component that
-    is null, not finite or beyond 31 bits after scaling."""
-    wide = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    is null or not finite. What passes 31 bits is held there, beyond what top_k accepts."""
+    most = 2.0 ** 31
+    wide = F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-most), F.least(
+        F.lit(most), F.lit(float(scale)) * x.cast("double")))))
     fits = F.forall(vector, lambda x: x.isNotNull() & (
-        F.abs(F.lit(float(scale)) * x.cast("double")) < F.lit(2.0 ** 31)))
+        F.abs(x.cast("double")) < F.lit(float("inf"))))
     return F.when(fits, wide)
 
 
@@ -178,8 +180,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, lists: int = 2, chunk_ro
     condition on the rows of ``vectors``; a query meets every row with another id, ties go to the
     smaller id. All its hits are returned if there are fewer than k.
 
-    Rows with a null id or vector, or a component that is null, not finite or beyond 31 bits after
-    scaling, take no part. A shorter vector counts as one that goes on with zeros. A repeated row
+    Rows with a null id or vector, or a component that is null or not finite, take no part; one that
+    passes 31 bits after scaling raises a ValueError. A shorter vector counts as one that goes on with zeros. A repeated row
     is a row of its own: as a candidate it takes a rank of its own, as a query it is answered again.
     An empty table, or one without queries, gives an empty result. A score that could pass 63 bits
     raises a ValueError.

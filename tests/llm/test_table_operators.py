@@ -203,7 +203,8 @@ def test_raking_alone(spark):
     cells = spark.createDataFrame(
         [("a", "en", "t", 100), ("a", "fr", "t", 300), ("b", "en", "u", 50), ("b", "fr", "t", 10)],
         "source string, language string, topic string, tokens long")
-    targets = {"source": [("a", .3), ("b", .7), ("none", 5.)], "language": [("en", 2.), ("fr", 2.)]}
+    targets = {"source": [("a", .1), ("b", .7), ("none", 5.), ("a", .2), ("b", None), ("b", -1.)],
+               "language": [("en", 2.), ("fr", 2.)]}
     frames = {m: spark.createDataFrame(t, f"{m} string, target double") for m, t in targets.items()}
     got = mixing.rake(cells, frames, 60).collect()
     sums = {}
@@ -291,6 +292,25 @@ def test_packing_documents(spark):
     assert packing.pack_documents(docs.limit(0), lengths=lengths).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    """A row repeated without end fills many blocks, none of them beyond its size."""
+    monkeypatch.setattr(packing, "COPIES_A_RUN", 70)
+    rows = [(None, "a b c")] * 1500 + [(7, "d e")] * 70 + [(i, "x y z") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lengths = packing.Lengths(sizes=(8, 16), block=100)
+    got = packing.pack_documents(docs, lengths=lengths).collect()
+    assert len(got) == len(rows)
+    assert sum(r["doc_id"] is None for r in got) == 1500
+    assert sum(r["doc_id"] == 7 for r in got) == 70
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["bin_id"].split("-")[0], []).append(r["doc_id"])
+    assert len(blocks) == -(-len(rows) // 100)
+    assert max(map(len, blocks.values())) < 200
+    again = packing.pack_documents(docs.repartition(5), lengths=lengths).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 # --- Classifiers -------------------------------------------------------------------------------
 
 ALPHABETS = {"xx": "abcde", "yy": "efghi", "zz": "ijkàé"}
