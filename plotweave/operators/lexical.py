@@ -11,6 +11,11 @@ from plotweave import settings as S
 from plotweave.functions import text as X
 from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
+from plotweave.scratch import pin_if_small
+
+# Asked terms (a query and a term each) that are pinned and broadcast, and their bytes.
+PIN_TERMS = 500_000
+PIN_TERM_BYTES = 32 << 20
 
 
 def _counted(tokens: pa.Array) -> pa.Array:
@@ -115,8 +120,15 @@ def bm25_without_index(
     queries: DataFrame, docs: DataFrame, k: int, text: str = "combined_text",
     salts: int | None = None, small_batch: bool = False,
 ) -> DataFrame:
-    """BM25 straight from the documents, counting only the terms that are asked for."""
+    """BM25 straight from the documents, counting only the terms that are asked for.
+
+    The terms of a ``small_batch`` are broadcast only after their own number and size were checked.
+    """
     asked = query_terms(queries)
+    held = pin_if_small(asked, PIN_TERMS, PIN_TERM_BYTES) if small_batch else None
+    small_batch = held is not None
+    if small_batch:
+        asked = held.df
     index = asked_postings(docs, asked, text, small_batch)
     stats = corpus_stats(docs, text).select(F.struct("docs", "avg_len")).scalar()
     return bm25_top_k(

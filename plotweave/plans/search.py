@@ -12,7 +12,8 @@ from plotweave import settings as S
 from plotweave.functions import scores as P
 from plotweave.functions import text as X
 from plotweave.operators.embed import Embedder, embed
-from plotweave.operators.lexical import bm25_top_k, bm25_without_index, query_terms
+from plotweave.operators.lexical import (
+    PIN_TERM_BYTES, PIN_TERMS, bm25_top_k, bm25_without_index, query_terms)
 from plotweave.operators.rank import top_k
 from plotweave.operators.vector_search import DEFAULT_PROBES, ann_search, exact_knn
 from plotweave.scratch import pin_if_small, stage
@@ -24,8 +25,6 @@ Scorer = Callable[[Column, Column], Column]
 # are staged as a table and joined by shuffles.
 PIN_ROWS = 20_000
 PIN_BYTES = 32 << 20
-# Asked terms (a query and a term each) that are pinned and broadcast.
-PIN_TERMS = 500_000
 # A pinned batch has at most rows * 2 * limit candidates, each a handful of numbers; the list is
 # broadcast only while that product stays within this bound.
 BROADCAST_CANDIDATES = 1_000_000
@@ -219,7 +218,7 @@ def search(
 def _stored_text_hits(batch: DataFrame, catalogue: Catalogue, limit: int, small: bool):
     asked = query_terms(batch).withColumn("bucket", catalogue.bucket_of(F.col("term")))
     index, terms = catalogue.postings, catalogue.terms
-    pinned = pin_if_small(asked, PIN_TERMS, PIN_BYTES) if small else None
+    pinned = pin_if_small(asked, PIN_TERMS, PIN_TERM_BYTES) if small else None
     if pinned is not None:
         asked = pinned.df
         index = only_folders(index, "bucket", pinned.values("bucket"))

@@ -65,6 +65,18 @@ def test_scoring_moves_each_posting_once(spark):
     assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", physical)
 
 
+def test_too_many_terms_are_not_broadcast_by_hint(spark, monkeypatch):
+    """A small batch of long queries: its terms are checked on their own."""
+    docs = spark.createDataFrame(list(DOCS.items()), "id bigint, combined_text string")
+    asked = spark.createDataFrame([(1, "cat dog"), (2, "the zebra")], "query_id bigint, query string")
+    held = lexical.bm25_without_index(asked, docs, 10, small_batch=True)
+    monkeypatch.setattr(lexical, "PIN_TERMS", 3)
+    free = lexical.bm25_without_index(asked, docs, 10, small_batch=True)
+    assert "strategy=broadcast" in held._jdf.queryExecution().toString()
+    assert "strategy=broadcast" not in free._jdf.queryExecution().toString()
+    assert sorted(map(tuple, free.collect())) == sorted(map(tuple, held.collect()))
+
+
 def test_filters(spark):
     cand = spark.createDataFrame(
         [(q, i, y, g) for q in (1, 2, 3, 4) for i, y, g in [
