@@ -43,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the raked source, language and topic weights (operator 3)."""
+    """A sample whose tokens come as near to the source, language and topic weights as its size
+    allows (operator 3); ``mixing.shares`` says how near."""
     _ready(spark)
     return mixing.sample_documents(docs)
 

@@ -30,12 +30,15 @@ ROUNDS_A_STAGE = 4
 class Plan:
     """How to mix. ``flatten`` makes the default targets: a category's share of the tokens to that
     power (1 keeps the mix, 0 makes all equal), scaled to sum to one. ``keep`` is the share of all
-    tokens to expect in the sample; ``rounds`` the number of raking rounds."""
+    tokens to expect in the sample; ``rounds`` the number of raking rounds. ``within`` rakes what a
+    cell can give, so that no cell is asked for more than its tokens; without it the raking knows
+    no such bound and what it asks too much of some cells is spread over all others."""
 
     flatten: float = 0.7
     keep: float = 0.8
     rounds: int = 12
     seed: str = "mix"
+    within: bool = True
 
 
 def token_count(text: Column) -> Column:
@@ -62,7 +65,8 @@ def flattened_targets(cells: DataFrame, by: str, power: float) -> DataFrame:
         by, F.pow(F.col("sum").cast("double"), F.lit(float(power))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int,
+         keep: float | None = None) -> DataFrame:
     """``cells`` (a column for each marginal and tokens > 0) with weight, fitted to the targets.
 
     Iterative proportional fitting: in turn, for each marginal, the weights of a category are
@@ -70,6 +74,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
     tokens cannot be met and is left out; a category without a target gets weight 0; the rest of
     each marginal's targets is scaled to one; those named twice add up, and a null or negative one
     is 0. Weights begin in proportion to the tokens.
+
+    With ``keep`` targets are tokens, ``keep`` of all, and a cell gives at most its own: a
+    category scarcer than its target is wanted whole, what it lacks goes to the marginal's others
+    in proportion to their targets, and a category's scale is that at which its cells, each cut at
+    its tokens, add up to what is wanted. A weight above the tokens then means the whole cell.
     """
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
     targets = {by: target.groupBy(by).agg(F.sum(F.greatest(
@@ -82,9 +91,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
         total = target.join(cells.select(by).distinct(), by).agg(
             F.sum("target")).first()[0] or 1.0
         fitted = fitted.withColumn(f"target_{by}", F.col(f"target_{by}") / total)
-    fitted = _gathered(staged(fitted, "mix-targets")[0])
+    fitted = staged(fitted, "mix-targets")[0]
+    if keep is not None:
+        for by in targets:
+            given = calibrated(fitted.groupBy(by).agg(
+                F.sum("tokens").alias("tokens"), F.max(f"target_{by}").alias("weight")), keep)
+            fitted = fitted.drop(f"target_{by}").join(given.select(
+                by, (F.col("probability") * F.col("tokens")).alias(f"target_{by}")), by)
+        fitted = staged(fitted, "mix-targets")[0]
+    fitted = _gathered(fitted)
     for at in range(rounds):
         for by in targets:
+            if keep is not None:
+                fitted = _filled(fitted, by)
+                continue
             now = F.sum("weight").over(Window.partitionBy(by))
             fitted = fitted.withColumn("weight", F.when(
                 now > 0, F.col("weight") * F.col(f"target_{by}") / now).otherwise(0.0))
@@ -93,6 +113,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
     return fitted.drop(*[f"target_{by}" for by in targets])
 
 
+def _filled(cells: DataFrame, by: str) -> DataFrame:
+    """Weights of each category scaled so that, each cut at its cell's tokens, they add up to its
+    target, or so that none is below its tokens.
+
+    The sum rises with the scale along the least of its lines, one for each number of full cells
+    (taken in the order in which they fill up), so the scale is the largest that a line gives.
+    """
+    fills = F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))
+    first = Window.partitionBy(by).orderBy(fills.asc_nulls_last(), *MARGINALS)
+    last = Window.partitionBy(by).orderBy(
+        fills.desc_nulls_first(), *[F.col(m).desc() for m in MARGINALS])
+    full = F.coalesce(F.sum(F.col("tokens").cast("double")).over(
+        first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(last.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lines = cells.withColumn("full", full).withColumn("rest", rest).withColumn(
+        "scale", F.when(F.col("rest") > 0, (F.col(f"target_{by}") - F.col("full")) / F.col("rest")))
+    return lines.withColumn("weight", F.col("weight") * F.coalesce(
+        F.max("scale").over(Window.partitionBy(by)), F.lit(0.0))).drop("full", "rest", "scale")
+
+
 def _gathered(cells: DataFrame) -> DataFrame:
     return cells.coalesce(1) if cells.count() <= LOCAL_CELLS else cells
 
@@ -126,6 +166,58 @@ def draw(doc_id: Column, seed: str) -> Column:
         1 << 48)
 
 
+def _told(docs: DataFrame, topic: Column | None, text: str, source: str,
+          lang: str) -> tuple[DataFrame, str]:
+    """``docs`` with a struct of each row's categories and tokens, and its name."""
+    cell = free_name(docs, "_cell")
+    topic = topic_of(F.col(f"`{text}`")) if topic is None else topic
+    return docs.withColumn(cell, F.struct(
+        category(F.col(f"`{source}`")).alias("source"),
+        category(F.col(f"`{lang}`")).alias("language"),
+        F.coalesce(topic, F.lit(OTHER_TOPIC)).alias("topic"),
+        token_count(F.col(f"`{text}`")).alias("n_tokens"))), cell
+
+
+def _rated(row: DataFrame, cell: str, plan: Plan, targets: dict[str, DataFrame] | None
+           ) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cells with tokens and probability, and the targets of all marginals."""
+    cells, _ = staged(row.select(f"{cell}.*").groupBy(*MARGINALS).agg(
+        F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-tokens")
+    wanted = {m: (targets or {}).get(m) for m in MARGINALS}
+    wanted = {m: flattened_targets(cells, m, plan.flatten) if t is None else t
+              for m, t in wanted.items()}
+    raked = rake(cells, wanted, plan.rounds, plan.keep if plan.within else None)
+    return calibrated(raked, plan.keep), wanted
+
+
+def shares(docs: DataFrame, plan: Plan = Plan(), targets: dict[str, DataFrame] | None = None,
+           topic: Column | None = None, text: str = "text", source: str = "source",
+           lang: str = "lang") -> DataFrame:
+    """(marginal, category, table, target, sample): a category's share of the table's tokens, of
+    the targets that :func:`sampled` rakes to, and of the tokens expected in its sample.
+
+    Where target and sample differ, ``plan.keep`` asks for more tokens than the scarce categories
+    can give at the target mix.
+    """
+    rated, wanted = _rated(*_told(docs, topic, text, source, lang), plan, targets)
+    rated, _ = staged(rated, "mix-rated")
+    whole = Window.partitionBy("marginal")
+    rows = None
+    for by in MARGINALS:
+        target = wanted[by].groupBy(by).agg(F.sum(F.greatest(
+            F.col("target").cast("double"), F.lit(0.0))).alias("target"))
+        one = rated.groupBy(by).agg(
+            F.sum(F.col("tokens").cast("double")).alias("table"),
+            F.sum(F.col("tokens") * F.col("probability")).alias("sample")).join(
+            target, by, "left").select(
+            F.lit(by).alias("marginal"), F.col(by).alias("category"), "table",
+            F.coalesce("target", F.lit(0.0)).alias("target"), "sample")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.select("marginal", "category", *[
+        F.try_divide(F.col(c), F.sum(c).over(whole)).alias(c)
+        for c in ("table", "target", "sample")])
+
+
 def sampled(docs: DataFrame, plan: Plan = Plan(), targets: dict[str, DataFrame] | None = None,
             topic: Column | None = None, doc_id: str = "doc_id", text: str = "text",
             source: str = "source", lang: str = "lang") -> tuple[DataFrame, str]:
@@ -138,24 +230,15 @@ def sampled(docs: DataFrame, plan: Plan = Plan(), targets: dict[str, DataFrame]
 
     A text without words has no tokens and is never sampled. Null source and language are
     categories; null ids share one draw, and so do repeated ids. An empty table gives an empty
-    one. Documents are sampled one by one, so the token total only nears its expectation.
+    one. Documents are sampled one by one, so the token total only nears its expectation. Targets
+    that ``plan.keep`` leaves no room for are met as far as the tokens go; :func:`shares` says how
+    far.
 
     One pass counts the tokens of every cell (source, language, topic), pre-aggregated; then only
     cells are raked, and joined to the documents, which are not shuffled while the cells are few.
     """
-    cell = free_name(docs, "_cell")
-    topic = topic_of(F.col(f"`{text}`")) if topic is None else topic
-    row = docs.withColumn(cell, F.struct(
-        category(F.col(f"`{source}`")).alias("source"),
-        category(F.col(f"`{lang}`")).alias("language"),
-        F.coalesce(topic, F.lit(OTHER_TOPIC)).alias("topic"),
-        token_count(F.col(f"`{text}`")).alias("n_tokens")))
-    cells, _ = staged(row.select(f"{cell}.*").groupBy(*MARGINALS).agg(
-        F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "mix-tokens")
-    wanted = {m: (targets or {}).get(m) for m in MARGINALS}
-    wanted = {m: flattened_targets(cells, m, plan.flatten) if t is None else t
-              for m, t in wanted.items()}
-    rates, _ = staged(calibrated(rake(cells, wanted, plan.rounds), plan.keep).select(
+    row, cell = _told(docs, topic, text, source, lang)
+    rates, _ = staged(_rated(row, cell, plan, targets)[0].select(
         F.struct(*MARGINALS).alias("at"), "probability"), "mix-rates")
     if rates.count() <= LOCAL_CELLS:
         rates = F.broadcast(rates)

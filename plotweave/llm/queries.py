@@ -154,7 +154,8 @@ from docs left join ratios using (source, "language", topic), factor_10"""
 
 @register("op3_source_mixing", mixing_sql())
 def source_mixing(spark, sf_dir):
-    marked, cell = mixing.sampled(table(spark, sf_dir, "documents"))
+    """In the form that the SQL states: raked without regard to what a cell can give."""
+    marked, cell = mixing.sampled(table(spark, sf_dir, "documents"), mixing.Plan(within=False))
     return marked.select("doc_id", *[f"{cell}.{c}" for c in (
         "source", "language", "topic", "n_tokens")],
         F.round(f"{cell}.probability", 6).alias("probability"), f"{cell}.sampled")

@@ -214,6 +214,31 @@ def test_raking_alone(spark):
     assert sums == pytest.approx({"a": .3, "b": .7, "en": .5, "fr": .5})
 
 
+def test_scarce_categories_are_taken_whole_and_the_rest_meets_its_targets(spark):
+    """Language x is scarcer than its target: it is wanted whole, y and z share the rest as their
+    targets say, and the sources, which have room, meet theirs exactly."""
+    sizes = {("a", "x"): 60, ("a", "y"): 300, ("a", "z"): 240, ("b", "x"): 40, ("b", "y"): 260,
+             ("b", "z"): 100}
+    docs = spark.createDataFrame(
+        [(i, "w " * n, lang, source) for i, ((source, lang), n) in enumerate(sizes.items())],
+        "doc_id long, text string, lang string, source string")
+    targets = {"source": [("=a", .55), ("=b", .45)],
+               "language": [("=x", .3), ("=y", .4), ("=z", .3)]}
+    frames = {m: spark.createDataFrame(t, f"{m} string, target double") for m, t in targets.items()}
+    plan = mixing.Plan(keep=0.6, rounds=12)
+    got = {r["category"]: r for r in mixing.shares(docs, plan, frames).collect()}
+    want = {"=a": .55, "=b": .45, "=x": 1 / 6, "=y": 5 / 6 * 4 / 7, "=z": 5 / 6 * 3 / 7, "other": 1}
+    assert {c: r["sample"] for c, r in got.items()} == pytest.approx(want, abs=1e-6)
+    assert {c: r["target"] for c, r in got.items()} == pytest.approx(
+        {"=a": .55, "=b": .45, "=x": .3, "=y": .4, "=z": .3, "other": 1})
+    marked, cell = mixing.sampled(docs, plan, frames)
+    rows = [r[cell] for r in marked.collect()]
+    assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(600)
+    assert all(r["probability"] == pytest.approx(1) for r in rows if r["language"] == "=x")
+    after = mixing.shares(docs, mixing.Plan(keep=0.6, rounds=12, within=False), frames).collect()
+    assert max(abs(r["sample"] - want[r["category"]]) for r in after) > 0.005
+
+
 def test_mixing_an_empty_table_and_clashing_names(spark):
     docs = mixed_docs(spark).withColumn("_cell", F.lit(1)).withColumn("probability", F.lit("p"))
     assert mixing.sample_documents(docs.limit(0)).count() == 0
