@@ -63,6 +63,8 @@ _ATTRIBUTE = re.compile(
     r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I) for name in _RAW}
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: A copyright mark with its year, as notices have it.
+_NOTICE = re.compile(r"(?:©|\(c\)|copyright)[\W_]*(?:©|\(c\))?[\W_]*(?:19|20)\d\d", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -195,25 +197,39 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _first_pass(block: Block, rules: BlockRules) -> str:
-    """good, bad, near (nearly good) or short."""
+def _stop_words(text: str, rules: BlockRules) -> tuple[int, int]:
+    """Known stop words of a text, and all its words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in rules.stop_words for w in words), len(words)
+
+
+def _tells_little(blocks: list[Block], rules: BlockRules) -> bool:
+    """Whether stop words say nothing about the page: its longer blocks that are not links hold so
+    few known ones that its language is another."""
+    counts = [_stop_words(b.text, rules) for b in blocks if len(b.text) >= rules.short
+              and not b.beside and b.links <= rules.link_density * len(b.text)]
+    return sum(c[0] for c in counts) < rules.stop_low * sum(c[1] for c in counts)
+
+
+def _first_pass(block: Block, rules: BlockRules, foreign: bool = False) -> str:
+    """good, bad, near (nearly good) or short. ``foreign``: few stop words are no sign."""
     size = len(block.text)
     density = block.links / size
     inside = bool(block.scope)
     if block.beside or density > (rules.link_density_inside if inside else rules.link_density):
         return "bad"
-    if not inside and ("©" in block.text or "copyright" in block.text.lower()):
+    if not inside and ("©" in block.text or "copyright" in block.text.lower()) and (
+            size < rules.short or size <= rules.long and _NOTICE.search(block.text)):
         return "bad"
     if size < rules.short:
         return "short"
-    words = _LETTERS.findall(block.text.lower())
-    stops = sum(w in rules.stop_words for w in words)
-    share = stops / len(words) if words else 0.0
+    stops, words = _stop_words(block.text, rules)
+    share = stops / words if words else 0.0
     if share >= rules.stop_high:
         return "good" if size > rules.long else "near"
     if share >= rules.stop_low:
         return "near"
-    return "short" if inside else "bad"
+    return "short" if inside else "near" if foreign else "bad"
 
 
 def main_blocks(page: str, rules: BlockRules = BlockRules()) -> list[str]:
@@ -223,7 +239,8 @@ def main_blocks(page: str, rules: BlockRules = BlockRules()) -> list[str]:
     words. Then the nearly good and after them the short blocks take the label of the nearest
     decided ones: inside an article or main element a block goes only if both sides are bad;
     elsewhere a nearly good one stays if either side is good (or no block of the page is), a
-    short one if both are or one in the same element is (a heading: if the next one is). On a
+    short one if both are or one in the same element is (a heading: if the next one is). A page
+    with hardly any known stop word is in another language: its longer blocks are nearly good. On a
     page with an article element (else a main one, else one named as holding the content) only
     what is inside can stay.
     """
@@ -232,8 +249,9 @@ def main_blocks(page: str, rules: BlockRules = BlockRules()) -> list[str]:
     scope = next((s for s in _SCOPES if s in scopes), "")
     if scope:  # what stands beside the article takes no part, also not as a neighbour
         blocks = [b for b in blocks if b.scope == scope and not b.beside]
+    foreign = not scope and _tells_little(blocks, rules)
     for block in blocks:
-        block.label = _first_pass(block, rules)
+        block.label = _first_pass(block, rules, foreign)
     edge = "good" if scope else "bad"
     for waiting in ("near", "short"):
         _inherit(blocks, waiting, edge, bool(scope))

@@ -183,6 +183,26 @@ def test_pages_whose_names_say_what_they_hold():
     assert html_text.main_blocks(page) == ["Head", "Tiny.", "Also tiny.", "End."]
 
 
+def test_articles_about_copyright_keep_their_paragraphs():
+    body = ["The court held that the copyright in the letters was with the heirs of the writer, and "
+            "that the archive had no right to print them, as it was not named in the will.",
+            "It is not the sign © on the first page that makes a work a protected one, and it has "
+            "not been so in most of the countries since they joined the convention; it is a notice "
+            "to the reader and it was in use for a long time before that, in the books of the age."]
+    notice = "Copyright © 2024 The Company of the Letters. All rights are reserved by the owners."
+    page = "".join(f"<p>{p}</p>" for p in [*body, notice, "© The Letters"])
+    assert html_text.main_blocks(f"<html><body><div>{page}</div></body></html>") == body
+
+
+def test_pages_in_languages_without_stop_words():
+    body = ["Город стоит на берегу большой реки, которая весной выходит из берегов и заливает луга.",
+            "Жители помнят, что мост построили очень давно, ещё до того, как проложили дорогу."]
+    page = ("<div class='nav'><a href='/'>Главная</a> <a href='/n'>Новости</a></div><div>"
+            + "".join(f"<p>{p}</p>" for p in body) + "</div><p>© 2024 Город</p>"
+            + "<p>© 2024 Городская газета, редакция и издательство, перепечатка текстов запрещена.</p>")
+    assert html_text.main_blocks(f"<html><body>{page}</body></html>") == body
+
+
 def test_short_blocks_follow_their_kin():
     good = "It is one of the texts that are in the page and they have to be kept by all of us. " * 3
     page = (f"<ul><li><a>Home</a></ul><div><p>First.<p>{good}<p>Last.</div>"
