@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotweave.llm import (chat, exact_topk, html_text, language_id, mixing, packing, quality_nb,
-                           quality_rules, simhash, url_filter)
+                           quality_rules, simhash, token_alignment, toxicity, url_filter)
 from plotweave.llm.common import WORD, remainder, table
 
 QUERIES: dict = {}
@@ -295,3 +295,25 @@ def filter_urls(spark, sf_dir):
     judged = url_filter.judge_urls(
         table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 11 toxicity -------------------------------------------------------------------------------
+
+
+@register("op11_toxicity")
+def toxic_texts(spark, sf_dir):
+    scored = toxicity.classify(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return scored.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
+# --- 12 alignment of tokenizers ----------------------------------------------------------------
+
+
+@register("op12_token_alignment")
+def tokenizer_alignment(spark, sf_dir):
+    return token_alignment.alignment_counts(
+        table(spark, sf_dir, "documents"), token_alignment.files(spark))
