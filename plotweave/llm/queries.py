@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotweave.llm import (chat, exact_topk, html_text, language_id, mixing, packing, quality_nb,
-                           quality_rules, simhash, token_alignment, toxicity, url_filter)
+                           quality_rules, simhash, token_alignment, toxicity, turn_repair,
+                           url_filter)
 from plotweave.llm.common import WORD, remainder, table
 
 QUERIES: dict = {}
@@ -317,3 +318,95 @@ def toxic_texts(spark, sf_dir):
 def tokenizer_alignment(spark, sf_dir):
     return token_alignment.alignment_counts(
         table(spark, sf_dir, "documents"), token_alignment.files(spark))
+
+
+# --- 13 conversation structure -----------------------------------------------------------------
+
+
+def turn_repair_sql() -> str:
+    """CRC-32 bit by bit; the cheapest (cost, audit, lines) of each state, row by row."""
+    byte = "list_reduce(list_concat([xor(c, x)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: " \
+           "xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(" \
+          f"string_split(k, ''), lambda x: ascii(x)::bigint)), lambda c, x: {byte}))"
+
+    def put(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return (f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', "
+                f"'o': {state}.o || {line}}}")
+
+    never = "{'c': 1000000000, 'a': '', 'o': ''}"
+    start = "{'c': 0, 'a': '', 'o': ''}"
+
+    def inserted(from_: str) -> str:
+        """States n, s, u, a once turns may be inserted."""
+        into_u = put("a", "3", "I", "chr(10) || 'user:'")
+        into_a = put("u", "3", "I", "chr(10) || 'assistant:'")
+        u_of = {x: put(x, "3", "I", "chr(10) || 'user:'") for x in "ns"}
+        return f"""
+      select conv_id, i, n, s, u, least(a, {into_a}) a from (
+        select conv_id, i, n, s, least(u, {into_u}, {u_of['n']}, {u_of['s']}) u, a from ({from_}))"""
+
+    same = "chr(10) || role || ':' || text"
+    gone, stays = "4", "(case when cut then 3 else 0 end)"
+    other = f"({stays} + 3)"
+
+    def kept(initial: str, state: str) -> str:
+        return f"case when not must and initial = '{initial}' then {put(state, stays, 'K', same)} else {never} end"
+
+    def changed(role: str, state: str) -> str:
+        line = f"chr(10) || '{role}:' || text"
+        return f"case when not must then {put(state, other, 'R', line)} else {never} end"
+
+    moves_u = ", ".join([kept("u", x) for x in "nsa"] + [changed("user", x) for x in "nsa"])
+    moves_a = ", ".join([kept("a", "u"), changed("assistant", "u")])
+    step = f"""
+        select w.conv_id, w.i + 1 i, {put('n', gone, 'D')} n,
+               least({put('s', gone, 'D')}, {kept('s', 'n')}) s,
+               least({put('u', gone, 'D')}, {moves_u}) u,
+               least({put('a', gone, 'D')}, {moves_a}) a
+        from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1"""
+    first = f"select distinct conv_id, 0::bigint i, {start} n, {never} s, {never} u, {never} a from conversations"
+    return f"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k
+  from conversations),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text
+         end as text,
+         unnest(case kind when 0 then []::int[] when 3 then [0, 1] else [0] end) as part
+  from (select *, {crc} % 20 kind from keyed)),
+numbered as (
+  select *, left(role, 1) initial, row_number() over (
+           partition by conv_id order by turn nulls first, role, sha256(text)) i from damaged),
+faulty as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') blank,
+         row_number() over (partition by conv_id, role, text order by i) > 1 again,
+         not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') open_end,
+         lag(initial) over (partition by conv_id order by i) || initial two
+  from numbered),
+judged as (
+  select *, blank or again must, not blank and not again and open_end cut from faulty),
+walk as ({inserted(first)}
+  union all {inserted(step)}),
+ends as (
+  select conv_id, least(n, a) best from (
+    select *, row_number() over (partition by conv_id order by i desc) r from walk) where r = 1),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+         count(*) filter (blank) blank, count(*) filter (not blank and again) duplicate,
+         count(*) filter (cut) truncated,
+         count(*) filter (two is not null and two not in ('su', 'ua', 'au')) illegal
+  from judged group by conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank,
+       coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated,
+       coalesce(illegal, 0)::bigint illegal, best.c::bigint "cost", best.a audit,
+       sha256(substr(best.o, 2)) repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id"""
+
+
+@register("op13_turn_repair", turn_repair_sql())
+def repaired_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair_digests(turn_repair.damaged(turns), turns)
