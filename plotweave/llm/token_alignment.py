@@ -62,8 +62,9 @@ class Codec:
         of_char = byte_characters()
         ranks = {bytes(of_char[c] for c in token): i for token, i in held["model"]["vocab"].items()
                  if token not in special}
-        merged = [ranks[bytes(of_char[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))]
-                  for m in held["model"]["merges"]]
+        pairs = ("".join(m if isinstance(m, list) else m.split(" "))
+                 for m in held["model"]["merges"])
+        merged = [ranks[bytes(of_char[c] for c in pair)] for pair in pairs]
         if any(a >= b for a, b in zip(merged, merged[1:])):
             raise ValueError("ids of the byte-level vocabulary must follow the order of its merges")
         self.json = byte_level

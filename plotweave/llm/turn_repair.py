@@ -430,7 +430,7 @@ def _read_piece(symbols: list[dict]) -> Piece:
                        for c in ("initial", "cut", "gone", "role", "text")))
 
 
-_TOTALS = "gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint"
+_NUMBERS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 
 def _combine(pieces: list[dict]) -> dict:
@@ -521,11 +521,11 @@ def repair(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     part = staged_pieces.where("not whole")
     span = F.when(F.col("first_turn").isNull(), F.lit(0).cast("bigint")).otherwise(
         F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"))
-    totals = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
     summed, _ = staged(_by_conversation(
         part, [*_COUNTS, "first_initial", "last_initial", "transfer"], _combine,
-        f"{_TOTALS}, ends array<struct<part:int,piece:int,ends:array<bigint>,closed:boolean>>",
+        ", ".join(f"{c} bigint" for c in _NUMBERS)
+        + ", ends array<struct<part:int,piece:int,ends:array<bigint>,closed:boolean>>",
     ), "turn-totals")
     keys = [*_KEY, "part", "piece"]
     ends = summed.select(*_KEY, F.explode("ends").alias("e")).select(*_KEY, "e.*")
@@ -546,8 +546,8 @@ def repair(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
 
     written = _each_piece(open_pieces.join(entries, keys), ["ends", "closed", "entry"], write,
                           f"audit string, repaired {_TURNS}")
-    return (whole.withColumn("gaps", span).select(*_KEY, *totals).unionByName(
-                summed.select(*_KEY, *totals)),
+    return (whole.withColumn("gaps", span).select(*_KEY, *_NUMBERS).unionByName(
+                summed.select(*_KEY, *_NUMBERS)),
             whole.select(*keys, "audit", "repaired").unionByName(written))
 
 
@@ -587,10 +587,9 @@ def repair_digests(turns: DataFrame, originals: DataFrame, conversation: str = "
         *_KEY, "audit", "repaired").mapInArrow(
         _stream_digests, "known boolean, conv string, audit string, repaired_sha256 string")
     every = originals.select(*_conversation_key(originals, conversation)).distinct()
-    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     found = every.join(totals, _KEY, "left").join(digests, _KEY, "left")
     return found.select(
         F.when(F.col("known"), F.col("conv")).cast(kind).alias("conv_id"),
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers],
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _NUMBERS],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
