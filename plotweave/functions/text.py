@@ -137,3 +137,8 @@ def combined_text(
         optional("Keywords: ", keywords),
         F.concat(F.lit("Plot: "), F.substring(plot, 1, max_plot_chars)),
     )
+
+
+def digest(x: Column) -> Column:
+    """SHA-256 of a text: what stands for it where many texts are compared."""
+    return F.sha2(x, 256)
