@@ -62,7 +62,7 @@ def _bucket(values: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     out = (values + np.uint64(kind)) * _MIX
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return (out >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+    return (out >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
 
 
 @dataclass
@@ -114,7 +114,7 @@ def bags_of(texts: list[str], settings: Settings) -> Bags:
         # no mark but at its ends
         first = np.flatnonzero(marks[size - 1:len(low)] == marks[1:len(low) - size + 2])
         runs.append((_bucket(grown[first], size, settings.buckets),
-                     np.append(np.searchsorted(first, begin - 1), len(first))))
+                     np.append(np.searchsorted(first, begin - 1), len(first)).astype(np.int32)))
     if len(begin):
         place = np.arange(begin[0], len(low)) - np.repeat(
             begin, np.diff(np.append(begin, len(low))))
@@ -126,7 +126,7 @@ def bags_of(texts: list[str], settings: Settings) -> Bags:
         words = np.add.reduceat(term, begin - begin[0])
     else:
         words = np.zeros(0, np.uint64)
-    runs.append((_bucket(words, 0, settings.buckets), np.arange(len(begin) + 1)))
+    runs.append((_bucket(words, 0, settings.buckets), np.arange(len(begin) + 1, dtype=np.int32)))
     return Bags(runs, np.searchsorted(begin, starts))
 
 
@@ -210,12 +210,12 @@ def train_rows(texts: list[str], labels: np.ndarray, settings: Settings) -> Lear
     of a toxic text the worst one has to be toxic, of another one none of them may be."""
     learner, random = Learner(settings), np.random.default_rng(settings.seed)
     parts = [(first, bags_of(part, settings)) for first, part in in_chunks(texts, _CHUNK)]
-    whole = [_shares(bags.between(a, b)) for _, bags in parts
-             for a, b in zip(bags.texts, bags.texts[1:])]
     for _ in range(settings.warm):
-        for i in random.permutation(len(whole)):
-            learner.learn(*whole[i], labels[i], settings.rate)
-    del whole
+        for k in random.permutation(len(parts)):
+            first, bags = parts[k]
+            for i in random.permutation(len(bags.texts) - 1):
+                learner.learn(*_shares(bags.between(bags.texts[i], bags.texts[i + 1])),
+                              labels[first + i], settings.rate)
     for turn in range(settings.rounds):
         chosen = []
         for first, bags in parts:
