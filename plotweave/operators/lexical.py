@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave import settings as S
 from plotweave.functions import text as X
 from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
-from plotweave.scratch import pin_if_small
+from plotweave.scratch import pin_if_small, stage
 
 # Asked terms (a query and a term each) that are pinned and broadcast, and their bytes.
 PIN_TERMS = 500_000
 PIN_TERM_BYTES = 32 << 20
+# Documents of a range, for which the largest contribution of a term is known; ranges at most.
+SPAN_DOCS = 32
+MAX_SPANS = 1 << 20
+# Rarest terms are scored first until their documents are so many times those asked for.
+LEAD = 8
+# Scores are rounded to six places: what a bound must be short by to be below another.
+MARGIN = 2e-6
 
 
 def _counted(tokens: pa.Array) -> pa.Array:
@@ -51,26 +60,47 @@ def postings(docs: DataFrame, text: str = "combined_text") -> DataFrame:
         F.col("t").isNotNull()).select("t.term", "id", "doc_len", "t.tf")
 
 
+def part_of_tf(avg_len: Column, k1: float = S.BM25_K1, b: float = S.BM25_B) -> Column:
+    """What a posting contributes to a score for each unit of its term's weight."""
+    tf = F.col("tf").cast("double")
+    return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+
+
 def asked_postings(
     docs: DataFrame, asked: DataFrame, text: str = "combined_text", small_batch: bool = False
 ) -> DataFrame:
-    """Postings of only the terms in ``asked``, partitioned by document.
-
-    Partitioned this way they serve the term statistics and the scoring from one shuffle.
-    """
-    wanted = asked.select("term").distinct()
+    """Postings of only the terms in ``asked``, and for each document a row without a term that
+    carries its length: one pass over the texts gives both."""
+    count = F.arrow_udf(_counted, "struct<doc_len:int,terms:array<struct<term:string,tf:bigint>>>")
+    counted = docs.select("id", F.when(
+        F.col(text).isNotNull(), count(X.tokens(F.col(text)))).alias("c"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"),
+                              F.lit(0).cast("bigint").alias("tf")))
+    rows = counted.select("id", F.col("c.doc_len").alias("doc_len"), F.explode(
+        F.concat(marker, F.coalesce("c.terms", F.array().cast(
+            "array<struct<term:string,tf:bigint>>")))).alias("t")).select(
+        "t.term", "id", "doc_len", "t.tf")
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
     if small_batch:
         wanted = F.broadcast(wanted)
-    return postings(docs, text).join(wanted, "term", "left_semi").repartition("id")
+    return rows.join(wanted, "term", "left").where(
+        F.col("term").isNull() | F.col("wanted")).drop("wanted")
+
 
+def term_stats(index: DataFrame, avg_len: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that hold a term, and the largest contribution of one of its postings for each
+    unit of weight; per term, or per term and ``keys``."""
+    return index.groupBy("term", *keys).agg(
+        F.count(F.lit(1)).alias("df"), F.max(part_of_tf(avg_len)).alias("most"))
 
-def corpus_stats(docs: DataFrame, text: str = "combined_text") -> DataFrame:
-    return docs.select(F.size(X.tokens(F.col(text))).alias("n")).agg(
-        F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len"))
 
+def span_of(ident: Column, spans: int) -> Column:
+    """The range of documents that one belongs to."""
+    return F.pmod(F.xxhash64(ident), F.lit(spans)).cast("int")
 
-def term_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+def span_count(docs: int) -> int:
+    return max(1, min(MAX_SPANS, docs // SPAN_DOCS))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -80,40 +110,140 @@ def query_terms(queries: DataFrame) -> DataFrame:
     ).filter(F.col("term").isNotNull())
 
 
+@dataclass(frozen=True)
+class LexicalIndex:
+    """``postings`` (term, id, doc_len, tf) and ``terms`` (term, df, most) of ``docs`` documents;
+    ``partition`` names a column derived from the term by which both are laid out. ``bounds``
+    (term, span, most) holds the largest contribution within each range of documents, for frequent
+    terms; a term without a row there has its own largest one."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: Column
+    avg_len: Column
+    bounds: DataFrame | None = None
+    spans: int = 1
+    partition: str | None = None
+
+
+def _held(df: DataFrame, small: bool, name: str) -> DataFrame:
+    """A table used several times: as a local relation to broadcast where that is certain."""
+    pinned = pin_if_small(df, PIN_TERMS, PIN_TERM_BYTES) if small else None
+    return stage(df, name) if pinned is None else F.broadcast(pinned.df)
+
+
+def _partial_scores(index: LexicalIndex, asked: DataFrame, more: list[str]) -> DataFrame:
+    """Sum of the contributions of the given (query, term) rows for each query and document;
+    ``more`` are columns that only depend on the query."""
+    on = ["term"] if index.partition is None else [index.partition, "term"]
+    part = F.col("idf") * part_of_tf(index.avg_len)
+    return index.postings.join(asked, on).groupBy("query_id", "id").agg(
+        F.sum(part).alias("partial"), *[F.first(c).alias(c) for c in more])
+
+
+def weighted_terms(asked: DataFrame, index: LexicalIndex, k: int, salts: int | None = None,
+                   small_batch: bool = False) -> DataFrame:
+    """(query_id, term, idf, optional, rest, floor) for the asked terms.
+
+    The rarest terms of a query are scored first, as many as bring a few times ``k`` documents.
+    The k-th best of these partial scores, ``floor``, is one that no document of the result can be
+    below. Terms whose largest contributions together (``rest``) stay below it are ``optional``:
+    a document with none of the others is not in the result.
+    """
+    on = ["term"] if index.partition is None else [index.partition, "term"]
+    df = F.col("df")
+    idf = F.log1p((index.docs - df + 0.5) / (df + 0.5))
+    side = F.broadcast(asked) if small_batch else asked
+    weighted = _held(index.terms.join(side, on).select(
+        "query_id", *on, "df", idf.alias("idf"), (idf * F.col("most")).alias("top")),
+        small_batch, "asked-terms")
+    rarer = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(
+        Window.unboundedPreceding, -1)
+    lead = weighted.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).where(
+        F.col("before") < LEAD * k).select("query_id", *on, "idf")
+    best = top_k(_partial_scores(index, F.broadcast(lead) if small_batch else lead, []),
+                 ["query_id"], [F.desc("partial"), F.asc("id")], k, salts=salts)
+    floors = best.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("partial") - MARGIN).alias("floor"))
+    weaker = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(
+        Window.unboundedPreceding, 0)
+    own = Window.partitionBy("query_id")
+    return _held(
+        weighted.join(floors, "query_id", "left").withColumn(
+            "optional", F.coalesce(F.sum("top").over(weaker) < F.col("floor"), F.lit(False)))
+        .withColumn("rest", F.sum(F.when(F.col("optional"), F.col("top")).otherwise(0.0)).over(own))
+        .select("query_id", *on, "idf", "top", "optional", "rest", "floor"),
+        small_batch, "weighted-terms")
+
+
+def candidates(weighted: DataFrame, index: LexicalIndex, k: int,
+               salts: int | None = None) -> DataFrame:
+    """(query_id, id, partial): documents that can be among the best ``k``, with the sum of their
+    contributions from the terms that are not optional.
+
+    What the optional terms can add is bounded by their largest contributions in the document's
+    own range. The k-th best sum of the others is a second, higher floor.
+    """
+    found = _partial_scores(index, weighted.where("not optional"), ["rest", "floor"])
+    rest = F.col("rest")
+    if index.bounds is not None:
+        on = ["term"] if index.partition is None else [index.partition, "term"]
+        asked = weighted.where("optional").select("query_id", *on, "idf", "top")
+        # how much less than its largest anywhere a term can add in a range
+        less = index.bounds.join(asked, on).groupBy("query_id", "span").agg(
+            F.sum(F.col("top") - F.col("idf") * F.col("most")).alias("less"))
+        found = found.withColumn("span", span_of(F.col("id"), index.spans)).join(
+            less, ["query_id", "span"], "left")
+        rest = rest - F.coalesce("less", F.lit(0.0))
+    reach = F.col("partial") + rest
+    kept = stage(found.where(F.col("floor").isNull() | (reach >= F.col("floor"))).select(
+        "query_id", "id", "partial", reach.alias("reach")), "candidates")
+    best = top_k(kept, ["query_id"], [F.desc("partial"), F.asc("id")], k, salts=salts)
+    floors = best.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("partial") - MARGIN).alias("floor"))
+    return kept.join(floors, "query_id").where(
+        F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))).select(
+        "query_id", "id", "partial")
+
+
 def bm25_top_k(
-    asked: DataFrame, index: DataFrame, terms: DataFrame, docs: Column, avg_len: Column, k: int,
-    k1: float = S.BM25_K1, b: float = S.BM25_B, salts: int | None = None,
-    partition: str | None = None, small_batch: bool = False,
+    asked: DataFrame, index: LexicalIndex, k: int, salts: int | None = None,
+    small_batch: bool = False,
 ) -> DataFrame:
-    """Best ``k`` documents per query: (query_id, id, score, rank).
-
-    ``asked`` is (query_id, term). Postings are first cut to the asked terms and moved once, by
-    document; only then are they multiplied by the queries that share a term. Summing per
-    (query, document) therefore needs no further shuffle. ``partition`` names a column derived
-    from the term by which the stored tables are laid out, so unasked folders are not read.
-    ``small_batch`` says that the size of the batch was checked: its terms are then broadcast and
-    the postings never move by term. Otherwise Catalyst decides, and adaptive execution splits
-    the partitions of frequent terms.
+    """Best ``k`` documents per query: (query_id, id, score, rank); ``asked`` is (query_id, term).
+
+    Only documents that can reach the k-th best score are scored in full, which loses none (see
+    :func:`weighted_terms`); postings of frequent terms are read only to complete those. With
+    ``small_batch``, which says that the size of the batch was checked, the asked terms are
+    broadcast and only the few that are needed of a posting list move.
     """
-    on = ["term"] if partition is None else [partition, "term"]
+    on = ["term"] if index.partition is None else [index.partition, "term"]
+    weighted = weighted_terms(asked, index, k, salts, small_batch)
+    found = candidates(weighted, index, k, salts)
+    wanted = weighted.where("optional").select("query_id", *on, "idf")
+    named = wanted.select(*on).distinct()
+    frequent = index.postings.join(F.broadcast(named) if small_batch else named, on, "left_semi")
+    asked_more = found.join(wanted, "query_id", "left")
+    added = asked_more.join(
+        frequent.select(*on, "id", part_of_tf(index.avg_len).alias("part")), [*on, "id"], "left")
+    scored = added.groupBy("query_id", "id").agg(quantise(
+        F.first("partial") + F.coalesce(F.sum(F.col("idf") * F.col("part")), F.lit(0.0))
+    ).alias("score"))
+    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k, salts=salts)
 
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small_batch else df
 
-    df = F.col("df")
-    idf = F.log1p((docs - df + 0.5) / (df + 0.5))
-    weighted = terms.join(side(asked.select(*on).distinct()), on).select(*on, idf.alias("idf"))
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * (tf * (k1 + 1)) / (
-        tf + k1 * (1 - b + b * F.col("doc_len") / avg_len))
-    matched = index.join(side(weighted), on).select("term", "id", part.alias("part"))
-    scored = (
-        matched.repartition("id")
-        .join(side(asked.select("query_id", "term")), "term")
-        .groupBy("query_id", "id")
-        .agg(quantise(F.sum("part")).alias("score"))
-    )
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k, salts=salts)
+def index_of(docs: DataFrame, asked: DataFrame, text: str = "combined_text",
+             small_batch: bool = False) -> LexicalIndex:
+    """Postings and statistics of the asked terms alone, from one pass over the documents."""
+    held = stage(asked_postings(docs, asked, text, small_batch), "asked-postings")
+    counts = held.where(F.col("term").isNull()).agg(
+        F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("avg_len")).first()
+    docs_n, avg_len = F.lit(counts["docs"]), F.lit(counts["avg_len"] or 0.0)
+    index = held.where(F.col("term").isNotNull())
+    spans = span_count(counts["docs"])
+    bounds = term_stats(index.withColumn("span", span_of(F.col("id"), spans)), avg_len, ("span",))
+    return LexicalIndex(index, term_stats(index, avg_len), docs_n, avg_len,
+                        bounds.select("term", "span", "most"), spans)
 
 
 def bm25_without_index(
@@ -129,8 +259,5 @@ def bm25_without_index(
     small_batch = held is not None
     if small_batch:
         asked = held.df
-    index = asked_postings(docs, asked, text, small_batch)
-    stats = corpus_stats(docs, text).select(F.struct("docs", "avg_len")).scalar()
     return bm25_top_k(
-        asked, index, term_stats(index), stats["docs"], stats["avg_len"], k, salts=salts,
-        small_batch=small_batch)
+        asked, index_of(docs, asked, text, small_batch), k, salts, small_batch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from plotweave import settings as S
 from plotweave.functions import text as X
 from plotweave.operators.embed import Embedder, embed, hashed_words
-from plotweave.operators.merge import merge_entities, with_keys
+from plotweave.operators.merge import KEY, merge_entities, merge_plots_in_parts, with_keys
 from plotweave.operators.prepare import canonicalise, newest_n, quality_gate, union_sources
 from plotweave.scratch import discard, spread, stage_at
 from plotweave.sources import catalogue as C
-from plotweave.sources.specs import SourceSpec, read_csv
+from plotweave.sources.specs import SourceSpec, read_numbered
 
 COLUMNS = ("id", "title", "release_year", "genre", "plot", "cast", "director", "keywords")
 
@@ -47,7 +48,7 @@ def stage_source(
 
     The text file is parsed once; the cut reads only two narrow columns of the staged copy.
     """
-    raw = read_csv(spark, spec) if table is None else table
+    raw = read_numbered(spark, spec) if table is None else table
     seen = Observation(f"gate-{src_rank}")
     rows = canonicalise(raw, spec, src_rank)
     if table is None:
@@ -64,13 +65,15 @@ def stage_source(
     return staged, SourceReport(spec.name, counts["rows"], counts["dropped"], kept)
 
 
-def entity_texts(merged: DataFrame, max_plot_chars: int = S.EMBED_PLOT_CHARS) -> DataFrame:
-    """Merged entities with their searchable text."""
+def entity_texts(merged: DataFrame, max_plot_chars: int = S.EMBED_PLOT_CHARS,
+                 more: Sequence[str] = ()) -> DataFrame:
+    """Merged entities with their searchable text, and ``more`` of their columns."""
     text = X.combined_text(
         *[F.col(c) for c in ("title", "release_year", "genre", "cast", "director", "keywords",
                              "plot")],
         max_plot_chars=max_plot_chars)
-    return merged.select(*COLUMNS, text.alias("combined_text"))
+    return merged.select(
+        *COLUMNS, text.alias("combined_text"), *[c for c in more if c not in COLUMNS])
 
 
 def build_catalogue(
@@ -87,12 +90,26 @@ def build_catalogue(
     left out: the reason is stored and reported, and searches do without it (a flat scan in place
     of the vector index, the vector arm alone in place of full text).
 
-    ``tables`` gives ready DataFrames for sources by name in place of their CSV files. While a
-    rebuild runs, the catalogue counts as not built.
+    ``tables`` gives ready DataFrames for sources by name in place of their CSV files. A build
+    writes a version of its own and publishes it when it is finished: until then, and if it
+    fails, the version before is opened.
     """
     embedder = embedder or hashed_words()
-    path = path.rstrip("/")
-    C.write_meta(spark, path, {"ready": False})
+    catalogue, path = path.rstrip("/"), C.new_version(path.rstrip("/"))
+    try:
+        report = _build_version(
+            spark, sources, path, embedder, threshold, min_plot_chars, fulltext, sub_vectors,
+            cells, tables, max_plot_chars, max_terms, index_min_rows)
+    except BaseException:
+        discard(spark, path)
+        raise
+    C.publish(spark, catalogue, path)
+    return report
+
+
+def _build_version(spark, sources, path, embedder, threshold, min_plot_chars, fulltext,
+                   sub_vectors, cells, tables, max_plot_chars, max_terms, index_min_rows
+                   ) -> BuildReport:
 
     tables = tables or {}
     done_with: list[str] = []
@@ -101,16 +118,22 @@ def build_catalogue(
         for rank, spec in enumerate(sources)
     ]
     rows = with_keys(union_sources([table for table, _ in staged]))
-    texts, texts_path = stage_at(entity_texts(
-        merge_entities(rows, embedder, threshold, max_terms=max_terms), max_plot_chars), "entities")
+    plots, parts = merge_plots_in_parts(rows, embedder, threshold)
+    merged = merge_entities(rows, embedder, max_terms=max_terms, plots=plots)
+    texts, texts_path = stage_at(entity_texts(merged, max_plot_chars, KEY), "entities")
     total = texts.count()
     shards = C.shard_count(total)
-    C.write_entities(embed(spread(texts, "id"), "combined_text", embedder), path, shards)
+    stored = texts.drop("title_key").withColumn("text_digest", X.digest(F.col("combined_text")))
+    C.write_entities(embed(spread(stored, "id"), "combined_text", embedder), path, shards)
+    if parts is not None:
+        texts.select("id", *KEY).join(parts, KEY).select("id", "part", "plot").repartitionByRange(
+            "id", "part").sortWithinPartitions("id", "part").write.parquet(f"{path}/plot_parts")
 
     for staged_path in (*done_with, texts_path):
         discard(spark, staged_path)
 
     entities = spark.read.parquet(f"{path}/entities")
+    title_buckets = C.write_titles(entities, path, total)
     ann, ann_error = _best_effort(lambda: C.write_cells(
         entities, path, embedder, sub_vectors or C.default_sub_vectors(embedder.dim), cells,
         index_min_rows))
@@ -118,8 +141,8 @@ def build_catalogue(
         lambda: C.write_fulltext(entities, path, total) if fulltext else None)
     C.write_meta(spark, path, {
         "embedder": embedder.name, "dim": embedder.dim, "rows": total, "shards": shards,
-        "ann": bool(ann), "fulltext": text_meta is not None, "ready": True,
-        "ann_error": ann_error, "fulltext_error": text_error, **(text_meta or {}),
+        "ann": bool(ann), "fulltext": text_meta is not None, "title_buckets": title_buckets,
+        "plot_parts": parts is not None, "ann_error": ann_error, "fulltext_error": text_error, **(text_meta or {}),
     })
     return BuildReport(total, bool(ann), text_meta is not None,
                        tuple(report for _, report in staged), ann_error, text_error)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,8 @@ from plotweave.operators.embed import Embedder, embed
 from plotweave.operators.lexical import (
     PIN_TERM_BYTES, PIN_TERMS, bm25_top_k, bm25_without_index, query_terms)
 from plotweave.operators.rank import top_k
-from plotweave.operators.vector_search import DEFAULT_PROBES, ann_search, exact_knn
+from plotweave.operators.vector_search import (
+    DEFAULT_PROBES, ann_search, exact_knn, exact_knn_by_cells)
 from plotweave.scratch import pin_if_small, stage
 from plotweave.sources.catalogue import Catalogue, only_folders
 
@@ -77,9 +78,11 @@ def attach_entities(hits: DataFrame, entities: DataFrame, broadcast: bool,
 
 
 def first_per_text(candidates: DataFrame) -> DataFrame:
-    """One candidate per query and text: vector arm first, then the better rank."""
+    """One candidate per query and text, told by its digest: vector arm first, then the better
+    rank. The candidates are pairs of ids with a digest; their texts are looked up afterwards."""
     order = [F.asc("arm"), F.asc("rank")]
-    return top_k(candidates, ["query_id", "combined_text"], order, 1, rank="_n").drop("_n")
+    return top_k(candidates, ["query_id", "text_digest"], order, 1, rank="_n").drop(
+        "_n", "text_digest")
 
 
 def apply_filters(candidates: DataFrame, batch: DataFrame) -> DataFrame:
@@ -95,13 +98,25 @@ def apply_filters(candidates: DataFrame, batch: DataFrame) -> DataFrame:
         & (high.isNull() | (year <= high))
         & ((low.isNull() & high.isNull()) | year.isNotNull())
     )
-    no_pattern = F.coalesce(genre, F.lit("")) == ""
-    in_genre = F.when(no_pattern, True).otherwise(
-        F.regexp_like(F.col("genre"), F.concat(F.lit("(?i)"), genre)))
     bounds = batch.select(
-        "query_id", "query", "min_year", "max_year", F.col("genre").alias("q_genre"))
-    return candidates.join(bounds, "query_id").filter(in_years & in_genre).drop(
-        "min_year", "max_year", "q_genre")
+        "query_id", "query", "min_year", "max_year",
+        F.coalesce("genre", F.lit("")).alias("q_genre"))
+    within = candidates.join(bounds, "query_id").filter(in_years)
+    return with_matches(within).filter((genre == "") | F.col("matches")).drop(
+        "min_year", "max_year", "q_genre", "matches")
+
+
+def with_matches(candidates: DataFrame) -> DataFrame:
+    """Add ``matches``: whether the pattern ``q_genre`` is found in ``genre``; null without one.
+
+    Each different pair of a pattern and a genre is tried once, however many candidates share it.
+    """
+    tried = candidates.where("q_genre <> ''").select("q_genre", "genre").distinct().select(
+        F.col("q_genre").alias("_pattern"), F.col("genre").alias("_genre"),
+        F.regexp_like(F.col("genre"), F.concat(F.lit("(?i)"), F.col("q_genre"))).alias("matches"))
+    return candidates.join(
+        tried, (F.col("q_genre") == F.col("_pattern")) & (F.col("genre") == F.col("_genre")),
+        "left").drop("_pattern", "_genre")
 
 
 def rerank(candidates: DataFrame, scorer: Scorer = lexical_scorer,
@@ -147,9 +162,13 @@ def retrieve(
     text_hits = bm25_without_index(
         batch, entities, limit, small_batch=rows is not None) if fulltext else None
     found = unite_arms(vector_hits, text_hits)
-    wide = entities.select(
-        "id", "title", "release_year", "genre", "plot", "combined_text")
-    return first_per_text(attach_entities(found, wide, broadcastable(rows, limit)))
+    digest = F.col("text_digest") if "text_digest" in entities.columns else X.digest(
+        F.col("combined_text"))
+    few = broadcastable(rows, limit)
+    first = first_per_text(attach_entities(
+        found, entities.select("id", digest.alias("text_digest")), few))
+    wide = entities.select("id", "title", "release_year", "genre", "plot", "combined_text")
+    return attach_entities(first, wide, few)
 
 
 def pin(queries: DataFrame) -> tuple[DataFrame, int | None]:
@@ -165,16 +184,15 @@ def pin(queries: DataFrame) -> tuple[DataFrame, int | None]:
 
 
 def check_patterns(batch: DataFrame) -> None:
-    """Raise a ValueError with the query and the pattern that is no regular expression."""
-    compiler = batch.sparkSession._jvm.java.util.regex.Pattern
+    """Raise a ValueError with the query and the pattern that is no regular expression. Patterns
+    are compiled in tasks, each different one once; only a faulty one reaches the driver."""
     patterns = batch.filter("genre <> ''").groupBy("genre").agg(
         F.min("query_id").alias("query_id"))
-    for row in patterns.toLocalIterator():  # one partition at a time
-        try:
-            compiler.compile(row["genre"])
-        except IllegalArgumentException as error:
-            raise ValueError(f"query {row['query_id']}: genre {row['genre']!r} is no regular "
-                             f"expression") from error
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("genre"))
+    wrong = patterns.where(compiled.isNull()).limit(1).collect()
+    if wrong:
+        raise ValueError(f"query {wrong[0]['query_id']}: genre {wrong[0]['genre']!r} is no regular "
+                         "expression")
 
 
 def broadcastable(rows: int | None, limit: int) -> bool:
@@ -185,10 +203,13 @@ def search(
     queries: DataFrame, catalogue: Catalogue, num_results: int = S.NUM_RESULTS,
     limit: int = S.RETRIEVAL_LIMIT, fulltext: bool = S.FULLTEXT, scorer: Scorer = lexical_scorer,
     probes: int = DEFAULT_PROBES, use_codes: bool = False, use_ann: bool = True,
-    rerank_chars: int = S.RERANK_CHARS,
+    rerank_chars: int = S.RERANK_CHARS, by_cells: bool = False,
 ) -> DataFrame:
     """Answer a batch of queries (query_id, query[, min_year, max_year, genre]).
 
+    The vector arm uses the cell index, if there is one, unless ``use_ann`` is off; ``by_cells``
+    then finds the exact neighbours with its help instead of by a flat scan.
+
     Both arms run before the filters, which cut only what was retrieved; a narrow filter can
     therefore return fewer than ``num_results`` rows.
     """
@@ -200,6 +221,8 @@ def search(
     if use_ann and catalogue.cells is not None:
         vector_hits = ann_search(
             asked, catalogue.cells, limit, probes=probes, use_codes=use_codes)
+    elif by_cells and catalogue.cells is not None:
+        vector_hits = exact_knn_by_cells(asked, catalogue.cells, limit)
     else:
         vector_hits = exact_knn(asked, catalogue.entities, limit, catalogue.embedder.dim)
 
@@ -208,24 +231,22 @@ def search(
         text_hits = _stored_text_hits(batch, catalogue, limit, rows is not None)
     found = unite_arms(vector_hits, text_hits).withColumn(
         "shard", catalogue.shard_of(F.col("id")))
-    candidates = first_per_text(look_up(
-        found, catalogue,
-        ("id", "title", "release_year", "genre", "plot", "combined_text"),
-        rows * 2 * limit if broadcastable(rows, limit) else None))
+    bound = rows * 2 * limit if broadcastable(rows, limit) else None
+    first = first_per_text(look_up(found, catalogue, ("id", "text_digest"), bound))
+    candidates = look_up(
+        first, catalogue, ("id", "title", "release_year", "genre", "plot", "combined_text"), bound)
     return finish(candidates, batch, num_results, scorer, rerank_chars)
 
 
 def _stored_text_hits(batch: DataFrame, catalogue: Catalogue, limit: int, small: bool):
     asked = query_terms(batch).withColumn("bucket", catalogue.bucket_of(F.col("term")))
-    index, terms = catalogue.postings, catalogue.terms
+    index = catalogue.lexical
     pinned = pin_if_small(asked, PIN_TERMS, PIN_TERM_BYTES) if small else None
     if pinned is not None:
-        asked = pinned.df
-        index = only_folders(index, "bucket", pinned.values("bucket"))
-        terms = only_folders(terms, "bucket", pinned.values("bucket"))
-    return bm25_top_k(
-        asked, index, terms, F.lit(catalogue.rows), F.lit(catalogue.meta["avg_len"]), limit,
-        partition="bucket", small_batch=pinned is not None)
+        asked, buckets = pinned.df, pinned.values("bucket")
+        index = replace(index, **{name: only_folders(getattr(index, name), "bucket", buckets)
+                                  for name in ("postings", "terms", "bounds")})
+    return bm25_top_k(asked, index, limit, small_batch=pinned is not None)
 
 
 def look_up(hits: DataFrame, catalogue: Catalogue, columns: tuple[str, ...],

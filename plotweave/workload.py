@@ -66,7 +66,7 @@ def films(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("plot"),
         F.concat_ws(", ", "source", F.upper("source"), "lang").alias("cast"),
         F.col("source").alias("director"),
-        F.array_join(F.slice(words, 4, 9), ", ").alias("keywords"),
+        F.concat_ws(", ", "lang", "source").alias("keywords"),
         "source",
         F.lit(0).alias("src_rank"),
         F.col("doc_id").alias("src_ord"),
@@ -163,7 +163,7 @@ films as (
   select *, (1950 + length({q_title('title')}) % 70)::varchar release_year from (
     select doc_id, array_to_string(w[1:3], ' ') title, lang || '|' || source genre, text plot,
            source || ', ' || upper(source) || ', ' || lang "cast", source director,
-           array_to_string(w[4:12], ', ') keywords, source, lang
+           concat_ws(', ', lang, source) keywords, source, lang
     from (select *, {_FILM_WORDS} w from documents)))"""
 
 
@@ -384,14 +384,10 @@ def title_case(spark, sf_dir):
 _NA_LIST = ", ".join("'" + token + "'" for token in S.NA_TOKENS)
 
 
-def _as_csv(df: DataFrame, name: str, spark: SparkSession) -> str:
-    """``df`` as one CSV file in the shared folder, in the order of its first column.
-
-    One task writes it: it stands for a file that somebody else wrote.
-    """
-    path = scratch_path(spark, name)
-    df.orderBy(df.columns[0]).coalesce(1).write.options(
-        header="true", quote='"', escape='"', quoteAll="true", nullValue="", emptyValue="").csv(path)
+def _as_csv(df: DataFrame, path: str, **options) -> str:
+    """``df`` as CSV files at ``path``, in the order of its first column."""
+    df.orderBy(df.columns[0]).write.options(
+        header="true", quote='"', escape='"', quoteAll="true", **options).csv(path)
     return path
 
 
@@ -412,7 +408,8 @@ select doc_id::varchar doc_id, case when body not in ({_NA_LIST}) then body end
 from marked""")
 def csv_scan(spark, sf_dir):
     """A CSV with every column as text; missing-value words come back as nulls."""
-    path = _as_csv(_texts_with_marks(spark, sf_dir), "documents-csv", spark)
+    path = _as_csv(_texts_with_marks(spark, sf_dir), scratch_path(spark, "documents-csv"),
+                   nullValue="", emptyValue="")
     return read_csv(spark, SourceSpec(name="documents", path=path, title="doc_id"))
 
 
@@ -441,8 +438,7 @@ def source_profile(spark, sf_dir):
         own = rows.filter(F.col("src_ord") % 3 == i).select(
             F.col("src_ord").alias(spec.title), F.col("release_year").alias(spec.year),
             F.col("plot").alias(spec.plot), F.col("genre").alias(spec.genre))
-        own.orderBy(spec.title).coalesce(1).write.options(
-            header="true", quote='"', escape='"', quoteAll="true").csv(spec.path)
+        _as_csv(own, spec.path)
     staged = [stage_source(spark, spec, i, S.MIN_PLOT_CHARS)[0]
               for i, spec in enumerate(film_sources(folder, limit_newest=_LIMITS))]
     return prepare.union_sources(staged).select("source", "title", "release_year")
@@ -461,7 +457,7 @@ def _guarded_batch(spark, sf_dir) -> DataFrame:
 
 
 _Q_GUARDED = f"""
-asked as (
+guarded as (
   select page_id query_id, {q_strip(_PAGE_TITLE)} query,
          case page_id % 5 when 1 then 99999999999 when 2 then 9223372036854775807 when 3 then 1970
          end::bigint min_year
@@ -469,7 +465,7 @@ asked as (
 
 
 @register("blank_queries", f"""
-with {_Q_GUARDED} select query_id, query, min_year::varchar min_year from asked""")
+with {_Q_GUARDED} select query_id, query, min_year::varchar min_year from guarded""")
 def blank_queries(spark, sf_dir):
     """Blank queries leave the batch, year bounds of any length stay numbers."""
     return search_plan.query_batch(_guarded_batch(spark, sf_dir)).select(
@@ -478,24 +474,24 @@ def blank_queries(spark, sf_dir):
 
 @register("filter_guards", f"""
 with {_Q_GUARDED}, {Q_FILMS},
-entities as (
-  select doc_id id, case when doc_id % 4 = 0 then 'Unknown' else release_year end release_year,
+marked as (
+  select doc_id id, title, plot, "cast", director, keywords,
+         case when doc_id % 4 = 0 then 'Unknown' else release_year end release_year,
          case when doc_id % 3 <> 0 then genre end genre from films),
-cand as (select query_id, id, release_year, genre, min_year
-         from asked join entities on id % 50 = query_id % 50)
-select query_id, id, release_year, genre from cand
+entities as (select *, {q_combined()} combined_text from marked),
+batch as (select query_id, query from guarded), {q_hybrid()}
+select query_id, id, release_year, genre from cand join guarded using (query_id)
 where min_year is null or try_cast(release_year as double) >= min_year""")
 def filter_guards(spark, sf_dir):
-    """Bounds against unknown years and null genres; where nothing fits, no row is left."""
-    asked = search_plan.query_batch(_guarded_batch(spark, sf_dir))
-    entities = films(spark, sf_dir).select(
-        F.col("src_ord").alias("id"),
-        F.when(F.col("src_ord") % 4 == 0, S.UNKNOWN).otherwise(
-            F.col("release_year")).alias("release_year"),
-        F.when(F.col("src_ord") % 3 != 0, F.col("genre")).alias("genre"))
-    met = asked.select("query_id", (F.col("query_id") % 50).alias("at")).join(
-        entities.withColumn("at", F.col("id") % 50), "at")
-    return search_plan.apply_filters(met, asked).select("query_id", "id", "release_year", "genre")
+    """Bounds against unknown years and null genres on all that is retrieved; where nothing fits,
+    no row is left."""
+    asked, rows = search_plan.pin(_guarded_batch(spark, sf_dir))
+    marked = films(spark, sf_dir).withColumn("id", F.col("src_ord")).withColumns({
+        "release_year": F.when(F.col("id") % 4 == 0, S.UNKNOWN).otherwise(F.col("release_year")),
+        "genre": F.when(F.col("id") % 3 != 0, F.col("genre"))})
+    entities = stage(embed(entity_texts(marked), "combined_text", EMBEDDER), "films")
+    found = search_plan.retrieve(asked, entities, EMBEDDER, rows=rows)
+    return search_plan.apply_filters(found, asked).select("query_id", "id", "release_year", "genre")
 
 
 # --- Merging ---------------------------------------------------------------------------------
@@ -688,6 +684,13 @@ def knn_exact(spark, sf_dir):
     return V.exact_knn(vector_queries(items), items, NEIGHBOURS, VECTOR_DIM)
 
 
+@register("knn_exact_cells", _Q_KNN)
+def knn_exact_cells(spark, sf_dir):
+    """The same neighbours through cells whose bounds say which of them can hold one."""
+    items, index = _cells(spark, sf_dir)
+    return V.exact_knn_by_cells(vector_queries(items), index, NEIGHBOURS)
+
+
 @register("knn_exact_blocks", _Q_KNN)
 def knn_exact_blocks(spark, sf_dir):
     """The same neighbours by the plan for query batches above the broadcast bound."""
@@ -943,7 +946,7 @@ def build(spark, sf_dir):
     """Built anew on every call."""
     _BUILT.pop((spark.sparkContext.applicationId, sf_dir), None)
     path = catalogue_path(spark, sf_dir)
-    return open_catalogue(spark, path, EMBEDDER).entities.drop("shard", "vector")
+    return open_catalogue(spark, path, EMBEDDER).entities.drop("shard", "vector", "text_digest")
 
 
 @register("catalogue_search", "with recursive " + ", ".join([

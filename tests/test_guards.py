@@ -165,13 +165,21 @@ def test_limits_by_source():
         limits(profile="test", limit_newest={"imdb": 3})
 
 
-def test_several_files_need_an_order(spark, tmp_path):
+def test_several_unsplit_files_need_an_order(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"{name}.csv").write_text("title,o\nx,1\n")
-    spec = SourceSpec(name="s", path=str(tmp_path), title="title")
+    spec = SourceSpec(name="s", path=str(tmp_path), title="title", split=False)
     with pytest.raises(ValueError, match="order"):
         read_csv(spark, spec)
-    assert read_csv(spark, SourceSpec(name="s", path=str(tmp_path), title="title", order="o")).count() == 2
+    for options in ({"order": "o", "split": False}, {}):
+        assert read_csv(spark, SourceSpec(
+            name="s", path=str(tmp_path), title="title", **options)).count() == 2
+
+
+def test_options_of_the_film_sources():
+    specs = film_sources("x", multi_line=False, order="n")
+    assert {(s.multi_line, s.order) for s in specs} == {(False, "n")}
+    assert film_sources("x", "test", split=False)[0].split is False
 
 
 @pytest.mark.parametrize("rank,order", [(0, 1 << 56), (0, -1), (128, 0), (-1, 0), (0, None)])
@@ -194,13 +202,7 @@ def test_large_groups_leave_no_rounds_behind(spark):
                                rows_per_task=50).collect()
     assert merged[0]["plot"].count("\n\n") == 299
     left = os.listdir(scratch.scratch_folder(spark).removeprefix("file://"))
-    assert not [f for f in left if f.startswith(("open-plots", "decided"))]
-
-
-def test_a_merged_plot_that_is_too_long_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(merge, "MAX_MERGED_CHARS", 1000)
-    with pytest.raises(ValueError, match="characters"):
-        merge.merge_plots(group_of(spark, 40), hashed_words(512), max_group=10)
+    assert not [f for f in left if f.startswith(("open-plots", "verdicts", "standing", "kept-plots"))]
 
 
 def test_postings_are_counted_in_their_row(spark):

@@ -1,6 +1,7 @@
 """BM25, hybrid retrieval, filters, ranking, stored catalogue, presentation."""
 
 import math
+import random
 import re
 
 import pytest
@@ -56,13 +57,44 @@ def test_bm25_equals_formula(spark):
         assert got[q] == pytest.approx(scores, abs=1e-6)
 
 
-def test_scoring_moves_each_posting_once(spark):
-    """One shuffle by document serves statistics and scores; none per (query, document)."""
+@pytest.mark.parametrize("lead,spans", [(1, 1), (8, 32), (40, 4)])
+def test_only_documents_within_reach_are_scored(spark, monkeypatch, lead, spans):
+    """The result is that of scoring everything, from a part of the pairs that share a term."""
+    monkeypatch.setattr(lexical, "LEAD", lead)
+    monkeypatch.setattr(lexical, "SPAN_DOCS", spans)
+    rng = random.Random(lead)
+    words = [f"w{i}" for i in range(200)]
+    share = [1 / (i + 1) for i in range(200)]
+    texts = {i: " ".join(rng.choices(words, share, k=rng.randint(5, 60))) for i in range(400)}
+    texts |= {400: "w199 w198", 401: "w199 w198", 402: ""}
+    asked = {q: " ".join(rng.choices(words, k=4) + ["w0", "w1", "w2"]) for q in range(12)}
+    asked[20] = "w0"
+    docs = spark.createDataFrame(list(texts.items()), "id bigint, combined_text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id bigint, query string")
+    for small in (True, False):
+        got = {}
+        for r in lexical.bm25_without_index(queries, docs, 5, small_batch=small).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        for q, query in asked.items():
+            scores = brute_bm25(texts, query)
+            best = sorted(((round(x, 6), -i) for i, x in scores.items()), reverse=True)[:5]
+            assert [(i, x) for _, i, x in sorted(got[q])] == [
+                (-i, pytest.approx(x, abs=2e-6)) for x, i in best]
+    terms = lexical.query_terms(queries)
+    index = lexical.index_of(docs, terms)
+    scored = lexical.candidates(lexical.weighted_terms(terms, index, 5), index, 5).count()
+    pairs = index.postings.join(terms, "term").select("query_id", "id").distinct().count()
+    assert scored < pairs / 3
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
     docs = spark.createDataFrame(list(DOCS.items()), "id bigint, combined_text string")
-    asked = spark.createDataFrame([(1, "cat dog")], "query_id bigint, query string")
-    plan = lexical.bm25_without_index(asked, docs, 10, small_batch=True)._jdf.queryExecution().toString()
-    physical = plan[plan.index("== Physical Plan =="):]
-    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", physical)
+    asked = lexical.query_terms(spark.createDataFrame(
+        [(1, "cat dog")], "query_id bigint, query string"))
+    index = lexical.index_of(docs, asked)
+    assert sorted(r["id"] for r in index.postings.select("id").distinct().collect()) == [1, 2, 6]
+    plan = lexical.bm25_top_k(asked, index, 10)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
 
 
 def test_too_many_terms_are_not_broadcast_by_hint(spark, monkeypatch):
@@ -101,7 +133,7 @@ def test_blank_queries_vanish(spark):
 def test_first_per_text_prefers_vector_arm(spark):
     rows = [(1, 10, 1, 1, "same"), (1, 11, 0, 9, "same"), (1, 12, 1, 2, "other")]
     df = spark.createDataFrame(
-        rows, "query_id bigint, id bigint, arm int, rank int, combined_text string")
+        rows, "query_id bigint, id bigint, arm int, rank int, text_digest string")
     assert {r["id"] for r in SP.first_per_text(df).collect()} == {11, 12}
 
 

@@ -169,3 +169,112 @@ def test_embedding_plug_in_prefix_and_batches(spark):
     queries = embed(df, "t", model, is_query=True).collect()
     assert all(r["vector"] == [1.0, 0.0] for r in passages)
     assert all(r["vector"][1] > 0 for r in queries)
+
+
+def clustered(spark, clusters=40, each=60, dim=16, seed=5):
+    """Unit vectors around random directions, with a zero vector."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    rows = np.repeat(centres, each, axis=0) + 0.15 * rng.normal(size=(clusters * each, dim))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = np.vstack((rows, np.zeros(dim))).astype(np.float32)
+    return spark.createDataFrame(
+        [(i, [float(x) for x in r]) for i, r in enumerate(rows)],
+        "id bigint, vector array<float>").repartition(6), rows
+
+
+def neighbours_of(rows, queries, k):
+    scores = np.round(rows[queries].astype(float) @ rows.astype(float).T, 6)
+    return {int(q): sorted(((-s, i) for i, s in enumerate(row)))[:k]
+            for q, row in zip(queries, scores)}
+
+
+def found_by(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    return {q: [(-s, i) for _, i, s in sorted(hits)] for q, hits in got.items()}
+
+
+def test_cell_bounds_give_the_exact_neighbours_from_few_vectors(spark):
+    corpus, rows = clustered(spark)
+    index = V.build_cells(corpus, 16)
+    queries = corpus.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    report = {}
+    got = found_by(V.exact_knn_by_cells(queries, index, 5, report=report))
+    assert got == neighbours_of(rows, np.arange(0, len(rows), 7), 5)
+    assert report["full"] == len(got) * len(rows)
+    # the zero vector's query has to read everything
+    assert report["scored"] < 0.2 * report["full"]
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01, 30.0])
+def test_cell_bounds_hold_for_vectors_of_any_length(spark, monkeypatch, scale):
+    corpus, rows = clustered(spark, 8, 20, 4)
+    lengths = (1 + np.arange(len(rows)) % 5) * scale
+    rows = (rows * lengths[:, None]).astype(np.float32)
+    corpus = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)],
+                                   "id bigint, vector array<float>")
+    monkeypatch.setattr(V, "BOUNDS_AT_ONCE", 60)
+    index = V.build_cells(corpus, 4, cells=9, min_rows=1)
+    queries = corpus.where("id % 11 = 0").withColumnRenamed("id", "query_id")
+    got = found_by(V.exact_knn_by_cells(queries, index, 4))
+    assert got == neighbours_of(rows, np.arange(0, len(rows), 11), 4)
+
+
+def test_more_neighbours_than_rows_and_no_queries(spark):
+    corpus, rows = clustered(spark, 2, 3, 4)
+    index = V.build_cells(corpus, 4, cells=3, min_rows=1)
+    queries = corpus.where("id = 1").withColumnRenamed("id", "query_id")
+    assert len(found_by(V.exact_knn_by_cells(queries, index, 50))[1]) == len(rows)
+    assert V.exact_knn_by_cells(queries.where("false"), index, 5).count() == 0
+
+
+def share_found(got, want):
+    return np.mean([len({i for _, i in got[q]} & {i for _, i in hits}) / len(hits)
+                    for q, hits in want.items()])
+
+
+def test_two_levels_of_fitted_centres_reach_a_recall(spark):
+    corpus, rows = clustered(spark)
+    index = V.build_cells(corpus, 16)
+    cells = index.centres.count()
+    assert 36 <= cells <= V.cell_count(len(rows)) == 49
+    queries = np.arange(0, len(rows) - 1, 7)
+    asked = corpus.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    want = neighbours_of(rows, queries, 5)
+    few = found_by(V.ann_search(asked, index, 5, probes=4))
+    all_cells = found_by(V.ann_search(asked, index, 5, probes=cells))
+    assert share_found(few, want) >= 0.9
+    assert share_found(all_cells, want) == 1
+
+
+def test_a_row_meets_two_roots_of_the_centres(spark):
+    corpus, _ = clustered(spark)
+    levels = V.train_two_levels(corpus, 49)
+    assert len(levels.coarse) <= 7
+    assert np.diff(levels.starts).max() <= 7 and np.diff(levels.starts).min() >= 1
+    assert levels.starts[-1] == len(levels.fine) <= 49
+    assert np.allclose(np.linalg.norm(levels.fine, axis=1), 1, atol=1e-5)
+    own = V.assign_cells(corpus, levels).select("cell_id", "vector").toPandas()
+    moved = V._unit(np.stack(own.vector))
+    close = (moved * levels.fine[own.cell_id]).sum(axis=1)
+    assert np.median(close) > 0.8
+
+
+def test_fitted_books_reach_a_recall(spark):
+    corpus, rows = clustered(spark)
+    index = V.build_cells(corpus, 16, sub_vectors=8)
+    asked = corpus.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    want = neighbours_of(rows, np.arange(0, len(rows) - 1, 7), 5)
+    got = found_by(V.ann_search(asked, index, 5, probes=8, refine=12, use_codes=True))
+    assert share_found(got, want) >= 0.9
+
+
+def test_stored_sizes_spare_the_count(spark):
+    corpus, rows = clustered(spark, 6, 10, 4)
+    index = V.build_cells(corpus, 4, cells=6, min_rows=1)
+    shaped = V.with_shapes(index)
+    assert sum(r["size"] for r in shaped.centres.collect()) == len(rows)
+    for probes, k in ((1, 3), (2, 30), (1, 500)):
+        assert V.enough_probes(shaped, probes, k) == V.enough_probes(index, probes, k)
