@@ -37,6 +37,12 @@ class Settings:
     most_languages: int = 1000
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; digits, fractions and number forms are none."""
+    found = _LETTER.search(text)
+    return found is not None and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Lower-cased letter for each code point of the basic plane, a space for the others."""
@@ -228,7 +234,8 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     """A model learnt from the rows where ``learnable`` holds; None if there is no such text.
 
     Document frequencies count every such text. The regression is fitted on a bounded sample of
-    about ``settings.per_language`` texts of each language, whole, in one task.
+    about ``settings.per_language`` texts of each language, whole, in one task; equal rows count
+    once there.
     """
     spark = docs.sparkSession
     order = F.pmod(F.xxhash64(F.lit("language"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")),
@@ -247,7 +254,8 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     idf = inverse_frequencies(document_frequencies(usable, "text", settings), settings)
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (
         r["lang"], int(min(1.0, settings.per_language / r["n"]) * (1 << 30)))])
-    sample, _ = staged(usable.where(F.col("ord") < shares[F.col("lang")]), "language-sample")
+    sample, _ = staged(usable.where(F.col("ord") < shares[F.col("lang")]).dropDuplicates(
+        ["text", "lang", "ord"]), "language-sample")
     held = spark.sparkContext.broadcast(idf)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +287,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text",
         own = held.value
         for batch in batches:
             texts = texts_of(batch)
-            known = [i for i, t in enumerate(texts) if own and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if own and has_letter(t)]
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if known:
                 p = softmax(own.logits([texts[i] for i in known]).astype(np.float64) / own.heat)

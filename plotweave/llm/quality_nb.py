@@ -265,7 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "te
 
     None if they hold no label or only one kind. Labels other than 0 and 1, and those without id,
     take no part; a document with several counts as good if one says so. The fit, ratios
-    included, is on a bounded sample of about ``per_class`` whole labelled texts of each class.
+    included, is on a bounded sample of about ``per_class`` whole labelled texts of each class; of
+    several texts with one id the smallest is read.
     """
     spark = docs.sparkSession
     marks, _ = staged(labels.select(F.col("doc_id"), F.col("quality")).where(
@@ -281,8 +282,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "te
         F.col("ord") < F.when(F.col("quality") == 1, limits[1]).otherwise(limits[0]))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # about 2 * per_class rows of two numbers
-    sample, _ = staged(plain.join(F.broadcast(few), "doc_id").select("text", "quality", "ord"),
-                       "quality-sample")
+    sample, _ = staged(plain.join(F.broadcast(few), "doc_id").groupBy(
+        "doc_id", "quality", "ord").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(
+        "text", "quality", "ord"), "quality-sample")
     share = sizes[1] / (sizes[0] + sizes[1])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

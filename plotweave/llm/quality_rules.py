@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -141,53 +143,65 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 @dataclass(frozen=True)
 class Risk:
     """Of the good texts of a stratum at most ``share`` may be rejected by all rules together,
-    in every stratum at once with probability 1 - ``doubt`` at least."""
+    in every stratum at once with probability 1 - ``doubt`` at least. Strata with too few labels
+    for that count as one."""
 
     share: float = 0.05
     doubt: float = 0.05
 
 
-def certified_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...] = RULES,
-                      risk: Risk = Risk()) -> DataFrame:
-    """stratum and, for each rule, the strictest cutoff that the holdout certifies (else null).
+def steps_of(rules: tuple[Rule, ...]) -> int:
+    return max(len(r.cutoffs) for r in rules)
+
 
-    ``holdout`` has a row with stratum and COUNTS for each labelled good text. Every rule may
-    reject share / number of rules of a stratum's good texts. A cutoff holds if the exact upper
-    confidence bound (Clopper-Pearson) of its rejections is not above that: if so few rejections
-    would have a probability of at most the level. The level is doubt / (strata * rules), by
-    Bonferroni; within a rule the cutoffs are tested in fixed order from lax to strict up to the
-    first that fails, which needs no further correction.
+def cutoff_at(rule: Rule, step: int) -> int:
+    """A rule's cutoff in the joint step; a rule with fewer cutoffs stays at its strictest."""
+    return rule.cutoffs[min(step, len(rule.cutoffs) - 1)]
 
-    One pre-aggregated pass counts rejections for all cutoffs; only counts go to Python.
+
+def certified_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...] = RULES,
+                      risk: Risk = Risk()) -> DataFrame:
+    """stratum and a cutoff for each rule: the strictest joint step that the holdout certifies
+    (nulls if none is).
+
+    ``holdout`` has a row with stratum and COUNTS for each labelled good text. In step i every
+    rule has its i-th cutoff, so the texts that some rule rejects grow from step to step. A step
+    holds if the exact upper confidence bound (Clopper-Pearson) of all rejections together is not
+    above the risk's share: if so few rejections would have a probability of at most the level.
+    Steps are tested in fixed order up to the first that fails, which needs no correction; the
+    level is doubt / strata, by Bonferroni. Strata too small to certify anything, even without a
+    rejection, are joined to one, for which the bound then holds as a whole.
+
+    One pre-aggregated pass counts rejections for all steps; only counts go to Python.
     """
-    allowed = risk.share / len(rules)
-    tests = [(r, c) for r in rules for c in r.cutoffs]
+    steps = range(steps_of(rules))
+    rejected = [reduce(or_, (F.coalesce(r.failed(F.lit(cutoff_at(r, i))), F.lit(False))
+                             for r in rules)) for i in steps]
     counted, _ = staged(holdout.groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(r.failed(F.lit(c)).cast("long")).alias(f"k_{r.name}_{c}") for r, c in tests]),
+        *[F.sum(x.cast("long")).alias(f"k_{i}") for i, x in enumerate(rejected)]),
         "quality-counts")
-    level = risk.doubt / (max(1, counted.count()) * len(rules))
+    level = risk.doubt / max(1, counted.count())
+    small = F.pow(F.lit(1 - risk.share), "n") > level
+    grouped = counted.withColumn("pool", F.when(small, "joint").otherwise(
+        F.concat(F.lit("own "), "stratum")))
 
     @F.arrow_udf("boolean")
     def holds(hits: pa.Array, rows: pa.Array) -> pa.Array:
-        return pa.array([binomial_cdf(k, n, allowed) <= level
+        return pa.array([binomial_cdf(k, n, risk.share) <= level
                          for k, n in zip(hits.to_pylist(), rows.to_pylist())], pa.bool_())
 
-    asked = counted.select("stratum", "n", F.explode(F.array(*[F.struct(
-        F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"),
-        F.col(f"k_{r.name}_{c}").alias("k"))
-        for r in rules for i, c in enumerate(r.cutoffs)])).alias("t")).select(
-        "stratum", "n", "t.*").withColumn("holds", holds("k", "n"))
-    failing = F.min(F.when(~F.col("holds"), F.col("step")))
-    best = asked.groupBy("stratum", "rule").agg(
-        failing.alias("first_failed"),
-        F.array_sort(F.collect_list(F.struct("step", "cutoff"))).alias("steps")).select(
-        "stratum", "rule", F.try_element_at(F.filter("steps", lambda s: (
-            F.col("first_failed").isNull() | (s["step"] < F.col("first_failed")))), F.lit(-1))["cutoff"]
-        .alias("cutoff"))
-    return best.groupBy("stratum").agg(*[
-        F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}")
-        for r in rules])
+    tested = grouped.groupBy("pool").agg(F.sum("n").alias("n"), F.array(
+        *[F.struct(F.lit(i).alias("step"), F.sum(f"k_{i}").alias("k")) for i in steps]
+    ).alias("tests")).select("pool", "n", F.explode("tests").alias("t")).select(
+        "pool", F.col("t.step").alias("step"), holds("t.k", "n").alias("holds"))
+    best = tested.groupBy("pool").agg(
+        F.coalesce(F.min(F.when(~F.col("holds"), F.col("step"))), F.lit(len(steps))).alias("first"))
+    chosen = F.col("first") - 1
+    return grouped.join(best, "pool").select("stratum", *[
+        F.when(chosen >= 0, F.element_at(
+            F.array(*[F.lit(cutoff_at(r, i)) for i in steps]), F.greatest(chosen, F.lit(0)) + 1)
+        ).alias(f"cut_{r.name}") for r in rules])
 
 
 def stratum_of(column: Column) -> Column:
@@ -227,8 +241,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """doc_id, stratum, COUNTS, base_failed, failed_rules and kept for every row of ``docs``.
 
     Null, empty and wordless texts have counts of zero and fail the base rules. A null stratum is
-    one of its own; a stratum without enough labelled good texts certifies nothing, so only the
-    base rules reject there, and so do all strata without labels. A null id is judged like any
+    one of its own; where even the strata with few labels together certify nothing, only the base
+    rules reject, and so in all strata without labels. A null id is judged like any
     other. Repeated rows stay repeated; other columns take no part; empty tables give empty ones.
 
     One pass over the whole texts; only counts are staged, joined and shuffled.

@@ -36,18 +36,20 @@ def best_fit_packing(spark, sf_dir):
 
 def quality_rules_sql(rules=quality_rules.RULES, risk=quality_rules.Risk()) -> str:
     """Counts by window and list functions, exact binomial tails as sums."""
-    chance = risk.share / len(rules)
-    level = f"{risk.doubt!r} / ((select count(distinct stratum) from holdout) * {len(rules)})"
+    chance, steps = risk.share, range(quality_rules.steps_of(rules))
+    level = f"({risk.doubt!r} / (select count(distinct stratum) from holdout))"
 
     def failed(rule, cutoff) -> str:
         return (f"100 * {rule.numerator} {'>' if rule.above else '<'} "
                 f"({cutoff}) * {rule.denominator}")
 
     tests = " union all ".join(
-        f"select stratum, '{r.name}' \"rule\", {i} step, {c} cutoff, count(*) n, "
-        f"count(*) filter ({failed(r, c)}) k from holdout group by stratum"
-        for r in rules for i, c in enumerate(r.cutoffs))
-    cuts = ", ".join(f"max(cutoff) filter (\"rule\" = '{r.name}') cut_{r.name}" for r in rules)
+        f"select pool, {i} step, count(*) n, count(*) filter ("
+        + " or ".join(failed(r, quality_rules.cutoff_at(r, i)) for r in rules)
+        + ") k from pooled group by pool" for i in steps)
+    cuts = ", ".join(
+        f"case first_failed - 1 {' '.join(f'when {i} then {quality_rules.cutoff_at(r, i)}' for i in steps)}"
+        f" end cut_{r.name}" for r in rules)
     hits = ", ".join(f"case when {failed(r, f'cut_{r.name}')} then '{r.name}' end" for r in rules)
     return f"""
 with raw as (
@@ -78,17 +80,18 @@ based as (
 holdout as (
   select * from based where not base_failed and doc_id in (
     select doc_id from labels group by doc_id having max(quality) = 1)),
+pooled as (
+  select *, case when pow({1 - chance!r}, count(*) over (partition by stratum)) > {level}
+            then 'joint' else 'own ' || stratum end pool from holdout),
 tests as ({tests}),
 tried as (
   select *, k < n and list_sum(list_transform(range(0, k + 1), lambda i: exp(
     lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({chance!r})
     + (n - i) * ln(1 - {chance!r})))) <= {level} holds from tests),
-failing as (
-  select stratum, "rule", min(step) filter (not holds) first_failed from tried group by all),
-best as (
-  select stratum, "rule", max_by(cutoff, step) cutoff from tried join failing using (stratum, "rule")
-  where first_failed is null or step < first_failed group by all),
-cuts as (select stratum, {cuts} from best group by stratum),
+best as (select pool, coalesce(min(step) filter (not holds), {len(steps)}) first_failed
+         from tried group by pool),
+cuts as (
+  select stratum, {cuts} from (select distinct stratum, pool from pooled) join best using (pool)),
 judged as (select *, concat_ws(',', {hits}) failed_rules from based left join cuts using (stratum))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and failed_rules = '' kept, failed_rules from judged"""
@@ -221,8 +224,9 @@ def quality_classifier(spark, sf_dir):
     scored = quality_nb.classify(
         table(spark, sf_dir, "documents").select("doc_id", "text"),
         table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
-                         "score", "predicted")
+    return scored.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
 
 
 # --- 8 exact top-k -----------------------------------------------------------------------------
@@ -251,8 +255,9 @@ def exact_top_k(spark, sf_dir):
 def language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs, remainder(F.col("doc_id"), 4) != 2)
-    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
-                        "lang_pred", "score")
+    return found.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
 
 
 # --- 10 urls -----------------------------------------------------------------------------------
@@ -276,13 +281,16 @@ def url_filter_sql(rules=URL_RULES, vocabulary=url_filter.Vocabulary()) -> str:
     verdicts = " ".join(f"{f} '{r.verdict}'" for f, r in zip(fits, ordered))
     return f"""
 with after as (
-  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else ''
+  select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else ''
                   end rest from pages),
 split as (
-  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                             'abcdefghijklmnopqrstuvwxyz') host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from after),
-named as (select *, lower(host || path) terms from split)
+named as (
+  select *, translate(url_decode(regexp_replace(
+              coalesce(url, ''), '%([0189A-Fa-f])', '%25\\1', 'g')),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') terms from split)
 select page_id, host, path, case {names} end "rule",
        coalesce(case {verdicts} end,
                 case when {hits(vocabulary.strict)} > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -65,12 +66,24 @@ def rule_that_fits(rules: list[Rule], host: Column, path: Column) -> tuple[Colum
     return chosen([r.name for r in ordered]), chosen([r.verdict for r in ordered])
 
 
+_ESCAPE = re.compile("%([2-7][0-9A-Fa-f])")
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def plain_url(url: str) -> str:
+    """A url with its escapes of ASCII characters resolved (once) and A-Z lower-cased."""
+    if "%" in url:
+        url = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), url)
+    return url.translate(_LOWER)
+
+
 def _is_word(char: str) -> bool:
     return char.isascii() and char.isalnum()
 
 
 def count_terms(vocabulary: Vocabulary):
-    """A column function: strict hits and different soft terms in a text.
+    """A column function: strict hits and different soft terms in a whole url, its escapes
+    resolved.
 
     One pass of an Aho-Corasick automaton finds every occurrence; one counts only where no ASCII
     letter or digit touches it. Null counts as empty.
@@ -86,8 +99,8 @@ def count_terms(vocabulary: Vocabulary):
             automaton.make_automaton()
         for batch in batches:
             strict, soft = [], []
-            for text in batch.to_pylist():
-                hits, seen = 0, set()
+            for url in batch.to_pylist():
+                text, hits, seen = plain_url(url or ""), 0, set()
                 for end, (term, weight) in automaton.iter(text) if text and weights else ():
                     start = end - len(term) + 1
                     if (start and _is_word(text[start - 1])) or (
@@ -110,19 +123,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], vocabulary: Vocabulary = Voc
                url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, strict_hits, soft_terms and verdict (block or allow).
 
-    A rule that fits decides; else the terms in host and path (lower-cased) do: one strict hit or
-    ``soft_needed`` different soft terms block. Row by row in one pass over the url, no shuffle.
-    Null and empty urls, and urls without ``://``, have an empty host and path, fit no rule and
-    are allowed. Columns of these names that ``pages`` has already are replaced. Repeated rows
+    A rule that fits decides; else the terms in the whole url do, query and fragment included: one
+    strict hit or ``soft_needed`` different soft terms block. Row by row in one pass over the url,
+    no shuffle. Null and empty urls, and urls without ``://``, have an empty host and path and fit
+    no rule; null and empty ones are allowed. Columns of these names that ``pages`` has already are replaced. Repeated rows
     stay repeated; an empty table gives an empty one.
     """
     made = ("host", "path", "rule", "strict_hits", "soft_terms", "verdict")
     link, terms = free_name(pages, "_url"), free_name(pages, "_terms")
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made or c == url]
     host, path = host_and_path(F.col(f"`{url}`"))
-    split = pages.select(*kept, F.struct(host.alias("host"), path.alias("path")).alias(link))
+    split = pages.select(*kept, F.struct(
+        host.alias("host"), path.alias("path"), F.col(f"`{url}`").alias("url")).alias(link))
     host, path = F.col(f"{link}.host"), F.col(f"{link}.path")
-    counted = split.withColumn(terms, count_terms(vocabulary)(F.lower(F.concat(host, path))))
+    counted = split.withColumn(terms, count_terms(vocabulary)(F.col(f"{link}.url")))
     rule, verdict = rule_that_fits(rules, host, path)
     by_terms = F.when((F.col(f"{terms}.strict_hits") > 0) | (
         F.col(f"{terms}.soft_terms") >= vocabulary.soft_needed), "block").otherwise("allow")

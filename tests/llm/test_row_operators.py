@@ -94,6 +94,73 @@ def test_cutoffs_reject_junk_within_the_risk(spark):
     assert whole.count() == sum(r["kept"] for r in got)
 
 
+def plain_steps(texts, risk):
+    """The strictest joint step that good texts certify alone, or -1."""
+    best = -1
+    for step in range(quality_rules.steps_of(quality_rules.RULES)):
+        rejected = 0
+        for counts in texts:
+            c = dict(zip(quality_rules.COUNTS, counts))
+            rejected += any(
+                (100 * c[r.numerator] > quality_rules.cutoff_at(r, step) * c[r.denominator])
+                == r.above and 100 * c[r.numerator] != quality_rules.cutoff_at(r, step) * c[
+                    r.denominator] for r in quality_rules.RULES)
+        if quality_rules.binomial_cdf(rejected, len(texts), risk.share) > risk.doubt:
+            return best
+        best = step
+    return best
+
+
+def test_strata_with_few_labels_count_as_one(spark):
+    """Three languages with 30 good texts each certify a step together, as SQL can state it."""
+    rows = [(i, f"{i} " + ratio_text(0), ("de", "fr", "es")[i % 3]) for i in range(120)]
+    rows += [(1000 + i, f"{i} " + ratio_text(70), ("de", "fr", "es")[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality_rules.keep_documents(docs, marks).collect()}
+    assert kept == set(range(120))
+    few = marks.where("doc_id < 60")
+    assert quality_rules.keep_documents(docs, few).count() == 150
+
+
+def test_steps_of_a_stratum_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    risk = quality_rules.Risk(share=0.05, doubt=0.05)
+    texts = [f"{i} " + ratio_text(rng.choice([0] * 30 + [8, 15, 25, 60])) for i in range(700)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(700)], "doc_id long, quality int")
+    counted = docs.select("doc_id", F.lit("=en").alias("stratum"),
+                          quality_rules.text_counts(F.col("text")).alias("c")).select(
+        "doc_id", "stratum", "c.*")
+    got = quality_rules.certified_cutoffs(counted.drop("doc_id"), risk=risk).first()
+    step = plain_steps([quality_rules.counts_of(t.encode()) for t in texts], risk)
+    assert 0 <= step < quality_rules.steps_of(quality_rules.RULES) - 1
+    assert {r.name: got[f"cut_{r.name}"] for r in quality_rules.RULES} == {
+        r.name: quality_rules.cutoff_at(r, step) for r in quality_rules.RULES}
+    assert quality_rules.keep_documents(docs, marks, risk=risk).count() < 700
+
+
+def test_false_rejection_in_repeated_draws():
+    """Over many holdouts from one population the certified step rejects more than its share of
+    the good texts in no more draws than the doubt allows."""
+    rng = random.Random(12)
+    risk = quality_rules.Risk(share=0.1, doubt=0.1)
+    kinds = [quality_rules.counts_of(ratio_text(n).encode()) for n in (0, 8, 15, 25, 60)]
+    weights = [0.88, 0.04, 0.04, 0.02, 0.02]
+    true = [sum(w for w, k in zip(weights, kinds) if plain_steps([k] * 400, quality_rules.Risk(
+        0.999, 0.5)) >= 0 and any(100 * dict(zip(quality_rules.COUNTS, k))[r.numerator]
+                                  > quality_rules.cutoff_at(r, step) * dict(zip(
+                                      quality_rules.COUNTS, k))[r.denominator]
+                                  for r in quality_rules.RULES))
+            for step in range(quality_rules.steps_of(quality_rules.RULES))]
+    wrong = 0
+    for _ in range(200):
+        step = plain_steps(rng.choices(kinds, weights, k=150), risk)
+        wrong += step >= 0 and true[step] > risk.share
+    assert wrong / 200 <= risk.doubt + 0.04
+
+
 def test_few_labels_certify_nothing(spark):
     docs = spark.createDataFrame(
         [(i, ratio_text(80) + f" {i}", "en") for i in range(30)],
@@ -119,7 +186,17 @@ def test_urls(spark):
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
     cases = [
         (None, "", "", None, "allow"), ("", "", "", None, "allow"),
-        ("casino.com/xxx", "", "", None, "allow"),
+        ("casino.com/xxx", "", "", None, "block"), ("cas.example/", "", "", None, "allow"),
+        ("https://example.org/search?q=porn", "example.org", "/search", None, "block"),
+        ("https://example.org/x#/casino/", "example.org", "/x", None, "block"),
+        ("https://example.org/c%61sino", "example.org", "/c%61sino", None, "block"),
+        ("https://example.org/%43ASINO%20", "example.org", "/%43ASINO%20", None, "block"),
+        ("https://example.org/%C3%A9casino", "example.org", "/%C3%A9casino", None, "allow"),
+        ("https://example.org/a%2fcasino%zz%", "example.org", "/a%2fcasino%zz%", None, "block"),
+        ("https://example.org/%2563asino", "example.org", "/%2563asino", None, "allow"),
+        ("https://example.org/?a=free&b=bets", "example.org", "/", None, "block"),
+        ("https://example.org/" + "a/" * 50_000 + "xxx", "example.org", "/" + "a/" * 50_000 + "xxx",
+         None, "block"),
         ("http://A.Example.NET/en/1?x=casino#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
         ("http://example.net/EN/", "example.net", "/EN/", "net/", "block"),
         ("http://example.net", "example.net", "", None, "allow"),

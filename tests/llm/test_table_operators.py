@@ -437,3 +437,38 @@ def test_dual_descent_separates():
     weights, bias = quality_nb.dual_coordinate_descent(rows, ratios, labels, settings)
     margins = [weights[r].sum() / 2 ** 0.5 + bias for r in rows]
     assert margins == pytest.approx([1, 1, -1, -1], abs=0.02)
+
+
+def test_number_forms_are_no_letters(spark):
+    rows = [(i, "the words of the text " + "abc " * 5, "en") for i in range(40)]
+    rows += [(i, "das sind die und der " + "xyz " * 5, "de") for i in range(40, 80)]
+    rows += [(100, "½ ²", None), (101, "Ⅷ 12", None), (102, "ª", None), (103, "Ⅷ das", None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(
+        docs, F.col("doc_id") < 100).where("doc_id >= 100").collect()}
+    assert found[100] == found[101] == ("und", 0.0)
+    assert found[102][0] != "und" and found[103][0] == "de"
+
+
+@pytest.mark.parametrize("fit", ["quality", "language"])
+def test_repeated_rows_do_not_enlarge_the_fit(spark, fit, monkeypatch):
+    """A text that is in the table thousands of times is read once by the one task that fits."""
+    rows = [(1, "one text of them", "en")] * 3000 + [(2, "ein anderer Text", "de")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    module = quality_nb if fit == "quality" else language_id
+    plain = module.staged
+
+    def watched(df, name):
+        held = plain(df, name)
+        if name.endswith("sample"):
+            seen.append(held[0].count())
+        return held
+
+    monkeypatch.setattr(module, "staged", watched)
+    if fit == "quality":
+        marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+        quality_nb.train(docs, marks, F.lit(True))
+    else:
+        language_id.train(docs, F.lit(True))
+    assert seen == [2]
