@@ -69,6 +69,10 @@ def parse_year_bound(text: Column) -> Column:
 _TITLE_FORMS = {
     c: c.title() for c in map(chr, range(0x180, 0x2000))
     if len(c.title()) == 1 and c.title() != c.upper()}
+# Letters whose title form has several characters that are not a capital and small letters.
+_LONG_TITLE_FORMS = {
+    c: c.title() for c in map(chr, range(0x100, 0x2000))
+    if len(c.title()) > 1 and c.title() != c.upper()[0] + c.upper()[1:].lower()}
 
 
 def title_case(text: Column) -> Column:
@@ -84,7 +88,9 @@ def title_case(text: Column) -> Column:
         # A first letter that grows when raised (ß) keeps only its first half capital.
         raised = F.upper(head)
         plain = F.concat(F.left(raised, F.lit(1)), F.lower(F.substr(raised, F.lit(2))))
-        first = F.when(head.rlike(f"[{before}]"), special).otherwise(plain)
+        long_form = F.create_map(*[F.lit(x) for pair in _LONG_TITLE_FORMS.items() for x in pair])
+        first = F.when(head.rlike(f"[{before}]"), special).when(
+            head.isin(*_LONG_TITLE_FORMS), long_form[head]).otherwise(plain)
         # Lowered behind a letter: a sigma takes its final form only after one.
         rest = F.substr(F.lower(F.concat(F.lit("a"), F.substr(run, F.lit(2)))), F.lit(2))
         return F.concat(first, rest)

@@ -36,18 +36,20 @@ def result_cards(results: DataFrame) -> DataFrame:
     )
 
 
-def paged(results: DataFrame, page: int | None = None) -> DataFrame:
-    """Add ``page`` (from 0) to ranked results, at most four pages of six; or keep one page."""
-    number = F.floor((F.col("result_rank") - 1) / S.PAGE_SIZE).cast("int")
-    shown = results.filter(F.col("result_rank") <= S.PAGE_SIZE * S.MAX_PAGES).withColumn(
-        "page", number)
+def paged(results: DataFrame, page: int | None = None, page_size: int = S.PAGE_SIZE,
+          max_pages: int = S.MAX_PAGES) -> DataFrame:
+    """Add ``page`` (from 0) to ranked results, at most ``max_pages`` of ``page_size``; or keep one
+    page."""
+    number = F.floor((F.col("result_rank") - 1) / page_size).cast("int")
+    shown = results.filter(F.col("result_rank") <= page_size * max_pages).withColumn("page", number)
     return shown if page is None else shown.filter(F.col("page") == page)
 
 
-def page_counts(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """Pages per query: at least one, at most four."""
+def page_counts(queries: DataFrame, results: DataFrame, page_size: int = S.PAGE_SIZE,
+                max_pages: int = S.MAX_PAGES) -> DataFrame:
+    """Pages per query: at least one, at most ``max_pages``."""
     counted = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     pages = F.greatest(
-        F.lit(1), F.least(F.lit(S.MAX_PAGES), F.ceil(F.coalesce("n", F.lit(0)) / S.PAGE_SIZE)))
+        F.lit(1), F.least(F.lit(max_pages), F.ceil(F.coalesce("n", F.lit(0)) / page_size)))
     return queries.select("query_id").join(counted, "query_id", "left").select(
         "query_id", pages.cast("int").alias("pages"))

@@ -902,6 +902,35 @@ def paged_results(spark, sf_dir):
         "query_id", "id", "result_rank", "page")
 
 
+@register("entity_cards", f"""
+with {Q_ENTITIES}, shown as (
+  select id, title, release_year, plot, case when id % 3 = 0 then 'Unknown' else genre end genre
+  from entities)
+select id, title, release_year as "year", plot, genre, '' confidence, 0.0::double sim,
+       title || ' (' || release_year || ')' "label",
+       case when length(plot) > 160 then substring(plot, 1, 160) || '…' else plot end preview,
+       case when genre in ('', 'Unknown') then 'Year: ' || release_year else 'Genre: ' || genre end
+         meta,
+       case when plot <> '' then plot else 'No plot available.' end body
+from shown""")
+def entity_cards(spark, sf_dir):
+    """Cards of all entities as they are, without a score; without a genre they show the year."""
+    genre = F.when(F.col("id") % 3 == 0, S.UNKNOWN).otherwise(F.col("genre"))
+    return result_cards(film_entities(spark, sf_dir).select(
+        "id", F.col("title").alias("Title"), F.col("release_year").alias("Release Year"),
+        F.col("plot").alias("Plot"), genre.alias("Genre")))
+
+
+@register("paged_by_ten", f"""
+with {q_search(S.APP_RESULTS)}
+select query_id, id, result_rank, floor((result_rank - 1) / 10)::int page from results
+where result_rank <= 20""")
+def paged_by_ten(spark, sf_dir):
+    """Two pages of ten in place of the usual sizes."""
+    return paged(_results(spark, sf_dir, S.APP_RESULTS), page_size=10, max_pages=2).select(
+        "query_id", "id", "result_rank", "page")
+
+
 @register("page_counts", f"""
 with {q_search(S.APP_RESULTS)},
 counted as (select query_id, count(*) n from results group by all)

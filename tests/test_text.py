@@ -150,3 +150,17 @@ def test_title_case_follows_the_rule_of_cased_letters(spark):
     rng = random.Random(3)
     texts += ["".join(rng.choice(pool) for _ in range(9)) for _ in range(2000)]
     assert apply(spark, X.title_case, texts) == [t.title() for t in texts]
+
+
+def test_title_case_of_every_cased_letter(spark):
+    """Alone, in front of a letter and behind one, for every letter of the first two planes that
+    the patterns of the JVM know (theirs is an older Unicode)."""
+    letters = [c for c in map(chr, range(0x20000))
+               if c.isalpha() and c.lower() != c.upper() and not 0xD800 <= ord(c) < 0xE000]
+    known = apply(spark, lambda x: x.rlike(r"^\p{L}$"), letters)
+    letters = [c for c, k in zip(letters, known) if k]
+    assert len(letters) > 2700
+    texts = letters + [f"{c}a" for c in letters] + [f"b{c}" for c in letters]
+    got = apply(spark, X.title_case, texts)
+    wrong = [(t, g) for t, g in zip(texts, got) if g != t.title()]
+    assert not wrong, wrong[:20]
