@@ -244,7 +244,8 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
                         ).select(F.col(f"`{text}`").alias("text"),
                                  F.col(f"`{lang}`").cast("string").alias("lang"),
                                  order.alias("ord"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(
+    sizes = usable.select("lang", "ord").distinct().groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n")).orderBy(
         F.desc("n"), "lang").limit(settings.most_languages + 1).collect()
     if not sizes:
         return None
