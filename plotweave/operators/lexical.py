@@ -22,7 +22,7 @@ PIN_TERM_BYTES = 32 << 20
 SPAN_DOCS = 32
 MAX_SPANS = 1 << 20
 # Rarest terms are scored first until their documents are so many times those asked for.
-LEAD = 8
+LEAD = 16
 # Scores are rounded to six places: what a bound must be short by to be below another.
 MARGIN = 2e-6
 
@@ -177,7 +177,7 @@ def weighted_terms(asked: DataFrame, index: LexicalIndex, k: int, salts: int | N
 
 
 def candidates(weighted: DataFrame, index: LexicalIndex, k: int,
-               salts: int | None = None) -> DataFrame:
+               salts: int | None = None, small_batch: bool = False) -> DataFrame:
     """(query_id, id, partial): documents that can be among the best ``k``, with the sum of their
     contributions from the terms that are not optional.
 
@@ -196,12 +196,14 @@ def candidates(weighted: DataFrame, index: LexicalIndex, k: int,
             less, ["query_id", "span"], "left")
         rest = rest - F.coalesce("less", F.lit(0.0))
     reach = F.col("partial") + rest
-    kept = stage(found.where(F.col("floor").isNull() | (reach >= F.col("floor"))).select(
-        "query_id", "id", "partial", reach.alias("reach")), "candidates")
+    # used twice: Spark reuses the shuffle of the sums
+    kept = found.where(F.col("floor").isNull() | (reach >= F.col("floor"))).select(
+        "query_id", "id", "partial", reach.alias("reach"))
     best = top_k(kept, ["query_id"], [F.desc("partial"), F.asc("id")], k, salts=salts)
     floors = best.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) == k, F.min("partial") - MARGIN).alias("floor"))
-    return kept.join(floors, "query_id").where(
+    # a row per query
+    return kept.join(F.broadcast(floors) if small_batch else floors, "query_id").where(
         F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))).select(
         "query_id", "id", "partial")
 
@@ -219,7 +221,7 @@ def bm25_top_k(
     """
     on = ["term"] if index.partition is None else [index.partition, "term"]
     weighted = weighted_terms(asked, index, k, salts, small_batch)
-    found = candidates(weighted, index, k, salts)
+    found = candidates(weighted, index, k, salts, small_batch)
     wanted = weighted.where("optional").select("query_id", *on, "idf")
     named = wanted.select(*on).distinct()
     frequent = index.postings.join(F.broadcast(named) if small_batch else named, on, "left_semi")
@@ -234,16 +236,14 @@ def bm25_top_k(
 
 def index_of(docs: DataFrame, asked: DataFrame, text: str = "combined_text",
              small_batch: bool = False) -> LexicalIndex:
-    """Postings and statistics of the asked terms alone, from one pass over the documents."""
+    """Postings and statistics of the asked terms alone, from one pass over the documents; bounds
+    by range pay for an index that is stored."""
     held = stage(asked_postings(docs, asked, text, small_batch), "asked-postings")
     counts = held.where(F.col("term").isNull()).agg(
         F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("avg_len")).first()
     docs_n, avg_len = F.lit(counts["docs"]), F.lit(counts["avg_len"] or 0.0)
     index = held.where(F.col("term").isNotNull())
-    spans = span_count(counts["docs"])
-    bounds = term_stats(index.withColumn("span", span_of(F.col("id"), spans)), avg_len, ("span",))
-    return LexicalIndex(index, term_stats(index, avg_len), docs_n, avg_len,
-                        bounds.select("term", "span", "most"), spans)
+    return LexicalIndex(index, term_stats(index, avg_len), docs_n, avg_len)
 
 
 def bm25_without_index(
