@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from plotweave import settings as S
 from plotweave.functions import text as X
 from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
+from plotweave.operators.vector_search import HITS, BestHits, hits_of
 from plotweave.scratch import pin_if_small, stage
 
 # Asked terms (a query and a term each) that are pinned and broadcast, and their bytes.
@@ -25,6 +27,8 @@ MAX_SPANS = 1 << 20
 LEAD = 16
 # Scores are rounded to six places: what a bound must be short by to be below another.
 MARGIN = 2e-6
+# Pairs of a document and a query scored at once.
+DENSE_PAIRS = 2_000_000
 
 
 def _counted(tokens: pa.Array) -> pa.Array:
@@ -177,7 +181,7 @@ def weighted_terms(asked: DataFrame, index: LexicalIndex, k: int, salts: int | N
 
 
 def candidates(weighted: DataFrame, index: LexicalIndex, k: int,
-               salts: int | None = None, small_batch: bool = False) -> DataFrame:
+               salts: int | None = None) -> DataFrame:
     """(query_id, id, partial): documents that can be among the best ``k``, with the sum of their
     contributions from the terms that are not optional.
 
@@ -202,12 +206,100 @@ def candidates(weighted: DataFrame, index: LexicalIndex, k: int,
     best = top_k(kept, ["query_id"], [F.desc("partial"), F.asc("id")], k, salts=salts)
     floors = best.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) == k, F.min("partial") - MARGIN).alias("floor"))
-    # a row per query
-    return kept.join(F.broadcast(floors) if small_batch else floors, "query_id").where(
+    return kept.join(floors, "query_id").where(
         F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))).select(
         "query_id", "id", "partial")
 
 
+@dataclass(frozen=True)
+class _Weights:
+    """The asked terms of a bounded batch by term: from ``starts[t]`` up to ``starts[t + 1]`` the
+    queries that ask for it and its weight there; once for needed and once for optional terms."""
+
+    query_ids: np.ndarray
+    floor: np.ndarray
+    rest: np.ndarray
+    terms: dict[str, int]
+    needed: tuple[np.ndarray, np.ndarray, np.ndarray]
+    optional: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _weights_of(table: pa.Table) -> _Weights:
+    query_ids, query = np.unique(np.asarray(table["query_id"]), return_inverse=True)
+    names = table["term"].combine_chunks().dictionary_encode()
+    terms = {t: i for i, t in enumerate(names.dictionary.to_pylist())}
+    code, idf = np.asarray(names.indices), np.asarray(table["idf"])
+    optional = np.asarray(table["optional"])
+    floor, rest = np.full(len(query_ids), -np.inf), np.zeros(len(query_ids))
+    floor[query] = np.asarray(table["floor"].fill_null(float("-inf")))
+    rest[query] = np.asarray(table["rest"])
+
+    def by_term(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(code[mine], kind="stable")
+        starts = np.searchsorted(code[mine][order], np.arange(len(terms) + 1))
+        return starts, query[mine][order], idf[mine][order]
+
+    return _Weights(query_ids, floor, rest, terms, by_term(~optional), by_term(optional))
+
+
+def _score_rows(shared, k: int):
+    """Kernel: postings (term, id, part), those of a document together, to the best hits of the
+    task. Documents are scored with the needed terms first; only pairs that can still reach the
+    floor, or the k-th best score of the task, get the optional terms too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        best, width = BestHits(len(w.query_ids), k), max(1, len(w.query_ids))
+        most = max(1, DENSE_PAIRS // width)
+
+        def contributions(which, code, document, part):
+            starts, query, idf = which
+            times = starts[code + 1] - starts[code]
+            row = np.repeat(np.arange(len(code)), times)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + starts[code][row]
+            return document[row] * width + query[at], part[row] * idf[at]
+
+        def score(code, ids, part) -> None:
+            own, document = np.unique(ids, return_inverse=True)
+            cell, value = contributions(w.needed, code, document, part)
+            total = np.bincount(cell, value, len(own) * width).reshape(-1, width)
+            floor = np.maximum(w.floor, best.floor - MARGIN)
+            found = (total > 0) & (total + w.rest >= floor)
+            cell, value = contributions(w.optional, code, document, part)
+            kept = found.reshape(-1)[cell]
+            total += np.bincount(cell[kept], value[kept], len(own) * width).reshape(-1, width)
+            total = np.round(total, S.SCORE_PLACES)
+            rows, cols = np.nonzero(found & (total >= best.floor))
+            best.add(cols, own[rows], total[rows, cols])
+            if best.waiting > DENSE_PAIRS:
+                best.settle()
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch["term"].dictionary_encode()
+            known = np.array([w.terms.get(t, -1) for t in names.dictionary.to_pylist()], np.int64)
+            new = (known[np.asarray(names.indices)], np.asarray(batch["id"]),
+                   np.asarray(batch["part"]))
+            held = new if held is None else tuple(map(np.concatenate, zip(held, new)))
+            starts = np.flatnonzero(np.append(True, held[1][1:] != held[1][:-1]))
+            done = 0
+            while len(starts) - done > most:  # the last document may go on in the next batch
+                part = slice(starts[done], starts[done + most])
+                score(*(c[part] for c in held))
+                done += most
+            held = tuple(c[starts[done]:] for c in held)
+        if held is not None:
+            starts = np.flatnonzero(np.append(True, held[1][1:] != held[1][:-1]))
+            for first in range(0, len(starts), most):
+                last = starts[first + most] if first + most < len(starts) else len(held[1])
+                score(*(c[starts[first]:last] for c in held))
+        yield hits_of(w.query_ids, best)
+
+    return run
+
+
 def bm25_top_k(
     asked: DataFrame, index: LexicalIndex, k: int, salts: int | None = None,
     small_batch: bool = False,
@@ -215,23 +307,32 @@ def bm25_top_k(
     """Best ``k`` documents per query: (query_id, id, score, rank); ``asked`` is (query_id, term).
 
     Only documents that can reach the k-th best score are scored in full, which loses none (see
-    :func:`weighted_terms`); postings of frequent terms are read only to complete those. With
-    ``small_batch``, which says that the size of the batch was checked, the asked terms are
-    broadcast and only the few that are needed of a posting list move.
+    :func:`weighted_terms`). With ``small_batch``, which says that the size of the batch was
+    checked, its weights are broadcast, postings of the asked terms move once, by document, and
+    documents are scored where they are. Otherwise postings of frequent terms are read only to
+    complete candidates.
     """
+    order = [F.desc("score"), F.asc("id")]
     on = ["term"] if index.partition is None else [index.partition, "term"]
     weighted = weighted_terms(asked, index, k, salts, small_batch)
-    found = candidates(weighted, index, k, salts, small_batch)
+    if small_batch:
+        table = weighted.select("query_id", "term", "idf", "optional", "rest", "floor").toArrow()
+        shared = asked.sparkSession.sparkContext.broadcast(_weights_of(table))
+        rows = index.postings.join(
+            F.broadcast(weighted.select(*on).distinct()), on, "left_semi").select(
+            "term", "id", part_of_tf(index.avg_len).alias("part"))
+        hits = rows.repartition("id").sortWithinPartitions("id").mapInArrow(
+            _score_rows(shared, k), HITS)
+        return top_k(hits, ["query_id"], order, k, salts=salts)
+    found = candidates(weighted, index, k, salts)
     wanted = weighted.where("optional").select("query_id", *on, "idf")
-    named = wanted.select(*on).distinct()
-    frequent = index.postings.join(F.broadcast(named) if small_batch else named, on, "left_semi")
-    asked_more = found.join(wanted, "query_id", "left")
-    added = asked_more.join(
+    frequent = index.postings.join(wanted.select(*on).distinct(), on, "left_semi")
+    added = found.join(wanted, "query_id", "left").join(
         frequent.select(*on, "id", part_of_tf(index.avg_len).alias("part")), [*on, "id"], "left")
     scored = added.groupBy("query_id", "id").agg(quantise(
         F.first("partial") + F.coalesce(F.sum(F.col("idf") * F.col("part")), F.lit(0.0))
     ).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k, salts=salts)
+    return top_k(scored, ["query_id"], order, k, salts=salts)
 
 
 def index_of(docs: DataFrame, asked: DataFrame, text: str = "combined_text",

@@ -93,8 +93,32 @@ def test_texts_are_tokenised_once(spark, tmp_path):
         [(1, "cat dog")], "query_id bigint, query string"))
     index = lexical.index_of(docs, asked)
     assert sorted(r["id"] for r in index.postings.select("id").distinct().collect()) == [1, 2, 6]
-    plan = lexical.bm25_top_k(asked, index, 10)._jdf.queryExecution().toString()
-    assert "ArrowEvalPython" not in plan
+    for small in (True, False):
+        plan = lexical.bm25_top_k(asked, index, 10, small_batch=small)._jdf.queryExecution()
+        assert "ArrowEvalPython" not in plan.toString()
+
+
+def test_documents_are_scored_in_bounded_blocks(spark, monkeypatch):
+    """Blocks of one document and batches of one row give the same result."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(30))))
+             for i in range(60)]
+    docs = spark.createDataFrame(texts, "id bigint, combined_text string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 1} w0") for q in range(8)],
+                                    "query_id bigint, query string")
+
+    def found():
+        return sorted(map(tuple, lexical.bm25_without_index(
+            queries, docs, 4, small_batch=True).collect()))
+
+    whole = found()
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(lexical, "DENSE_PAIRS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert found() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
 def test_too_many_terms_are_not_broadcast_by_hint(spark, monkeypatch):
