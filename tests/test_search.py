@@ -121,6 +121,52 @@ def test_documents_are_scored_in_bounded_blocks(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
+@pytest.mark.parametrize("pinned", [True, False])
+def test_large_batches_are_scored_in_passes(spark, monkeypatch, pinned):
+    """Without a shuffle of all pairs of a query and a document that share a term."""
+    docs = spark.createDataFrame(
+        [(i, " ".join(["the", *[f"w{(i * j) % 17}" for j in range(i % 9)]])) for i in range(120)],
+        "id bigint, combined_text string").repartition(5)
+    queries = spark.createDataFrame([(q, f"the w{q % 19} w{q % 7} w{q % 7}") for q in range(90)],
+                                    "query_id bigint, query string")
+    want = sorted(map(tuple, lexical.bm25_without_index(
+        queries, docs, 6, small_batch=True).collect()))
+    monkeypatch.setattr(lexical, "PASS_QUERIES", 20)
+    if not pinned:
+        monkeypatch.setattr(lexical, "PIN_TERMS", 2)
+    shuffled = []
+    if pinned:
+        monkeypatch.setattr(lexical, "_partial_scores", lambda *_: shuffled.append(1))
+    got = lexical.bm25_without_index(queries, docs, 6)
+    assert sorted(map(tuple, got.collect())) == want and not shuffled
+
+
+def test_contributions_are_bounded(monkeypatch):
+    """A block of documents brings a bounded number of contributions to the queries."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Shared:
+        value = lexical._weights_of(pa.table({
+            "query_id": list(range(50)) * 2, "term": ["a"] * 50 + ["b"] * 50,
+            "idf": [1.0] * 50 + [2.0] * 50, "optional": [False] * 50 + [True] * 50,
+            "rest": [2.0] * 100, "floor": pa.array([None] * 100, pa.float64())}))
+
+    batch = pa.record_batch({"term": ["a", "b"] * 40, "id": np.repeat(np.arange(40), 2),
+                             "part": np.arange(80) / 10})
+    whole = [b.to_pydict() for b in lexical._score_rows(Shared, 3)([batch])]
+    sizes, count = [], np.bincount
+
+    def counted(cells, *rest):
+        sizes.append(len(cells))
+        return count(cells, *rest)
+
+    monkeypatch.setattr(lexical, "CONTRIBUTIONS", 300)
+    monkeypatch.setattr(np, "bincount", counted)
+    assert [b.to_pydict() for b in lexical._score_rows(Shared, 3)([batch])] == whole
+    assert max(sizes) <= 300
+
+
 def test_too_many_terms_are_not_broadcast_by_hint(spark, monkeypatch):
     """A small batch of long queries: its terms are checked on their own."""
     docs = spark.createDataFrame(list(DOCS.items()), "id bigint, combined_text string")
