@@ -342,3 +342,20 @@ def test_scores_of_any_size_are_those_of_double_precision(scale):
         order = sorted((-s, i) for i, s in enumerate(scores[query]) if s == s)[:4]
         found = [i for q, i in zip(hits["query_id"], hits["id"]) if q == query]
         assert found == [i for _, i in order]
+
+
+def test_codebooks_are_plain_lloyd_without_a_row_per_piece(spark, corpus, vectors, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a row per sub-vector is made")
+
+    first = corpus.orderBy(F.xxhash64("id"), "id").limit(16).toArrow()
+    monkeypatch.setattr(V.F, "posexplode", refuse)
+    books = V.train_codebooks(corpus, DIM, 4, codes=16, iterations=3)
+    rows = vectors.astype(np.float64).reshape(-1, 4, 2)
+    plain = V._matrix(first["vector"]).astype(np.float64).reshape(-1, 4, 2).transpose(1, 0, 2).copy()
+    for _ in range(3):
+        for s in range(4):
+            code = ((rows[:, s, None] - plain[s][None]) ** 2).sum(axis=2).argmin(axis=1)
+            for c in np.unique(code):
+                plain[s][c] = rows[code == c, s].mean(axis=0)
+    np.testing.assert_allclose(books, plain, atol=1e-5)
