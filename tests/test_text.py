@@ -1,6 +1,8 @@
 """Scalar expressions against expected values."""
 
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -164,3 +166,28 @@ def test_title_case_of_every_cased_letter(spark):
     got = apply(spark, X.title_case, texts)
     wrong = [(t, g) for t, g in zip(texts, got) if g != t.title()]
     assert not wrong, wrong[:20]
+
+
+def test_white_space_runs_inside_a_text_take_linear_time(spark):
+    """Patterns tried at every character of a run would take minutes here."""
+    run = " " * 200_000
+    rows = spark.createDataFrame([(f" a{run}b ,{run}c{run}, d{run}x",)], "t string")
+    started = time.monotonic()
+    row = rows.select(
+        X.strip(F.col("t")).alias("s"), X.first_words(X.strip(F.col("t")), 3).alias("w"),
+        X.term_parts(F.col("t")).alias("p")).first()
+    assert time.monotonic() - started < 10
+    assert row["s"] == f"a{run}b ,{run}c{run}, d{run}x"
+    assert row["w"] == "a b ,"
+    assert row["p"] == [f"a{run}b", "c", f"d{run}x"]
+
+
+def test_terms_and_first_words_around_every_kind_of_space(spark):
+    spaces = [c for c in map(chr, range(0x3100)) if c.isspace()]
+    texts = [f"{c}a{c}{c}b{c},{c},{c}'c'{c},,[{c}d{c}]{c}e{c}" for c in spaces] + ["", ",", " , "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for row in rows.select("t", X.term_parts(F.col("t")).alias("p"),
+                           X.first_words(X.strip(F.col("t")), 3).alias("w")).collect():
+        cut = [re.sub(r"[\[\]'\"]", "", p).strip() for p in row["t"].split(",")]
+        assert row["p"] == [p for p in cut if p]
+        assert row["w"] == " ".join(row["t"].split()[:3])
