@@ -359,3 +359,14 @@ def test_codebooks_are_plain_lloyd_without_a_row_per_piece(spark, corpus, vector
             for c in np.unique(code):
                 plain[s][c] = rows[code == c, s].mean(axis=0)
     np.testing.assert_allclose(books, plain, atol=1e-5)
+
+
+def test_items_are_looked_through_only_in_vectors_with_the_rare_number(spark):
+    rows = [(1, [1.0, 2.0]), (2, [V._RARE, 2.0])]
+    schema = "id bigint, vector array<double>"
+    whole = V.checked(spark.createDataFrame(rows, schema), 2)
+    assert "array_contains" in whole._jdf.queryExecution().toString()
+    assert sorted(r["id"] for r in whole.collect()) == [1, 2]
+    for wrong in ([V._RARE, None], [None, V._RARE], [None, 1.0], [1.0], None):
+        with pytest.raises(Exception, match="vector of id 7 does not have 2 components"):
+            V.checked(spark.createDataFrame([(7, wrong)], schema), 2).collect()
