@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plotweave
-from plotweave import scratch
+from plotweave import scratch, workload
 from plotweave.operators import lexical, merge
 from plotweave.operators import vector_search as V
 from plotweave.operators.embed import hashed_words, with_query_instruction
@@ -129,6 +129,40 @@ def test_an_index_that_fails_is_left_out(spark, tmp_path, monkeypatch):
     assert plotweave.search(asked, catalogue).collect() == want
 
 
+@pytest.mark.parametrize("name", ["write_cells", "write_fulltext"])
+def test_a_failed_index_is_no_smaller_result(spark, tmp_path, monkeypatch, name):
+    """Words that only the text arm finds are found without the index; a query that is named after
+    its index fails with it."""
+    rows = [(i, f"Film {i}", "2000", "Drama", f"{'common words again ' * 9} number{i}")
+            for i in range(80)]
+    table = spark.createDataFrame(rows, films(spark).schema)
+    asked = spark.createDataFrame([(1, "number7 number70 number79")], "query_id bigint, query string")
+    found = []
+    for path in ("whole", "lacks"):
+        if path == "lacks":
+            monkeypatch.setattr(C, name, lambda *_: 1 / 0)
+            with pytest.warns(RuntimeWarning, match="ZeroDivisionError"):
+                plotweave.build_catalogue(spark, [SPEC], str(tmp_path / path), EMBEDDER,
+                                          tables={"films": table}, index_min_rows=20, cells=2)
+        else:
+            plotweave.build_catalogue(spark, [SPEC], str(tmp_path / path), EMBEDDER,
+                                      tables={"films": table}, index_min_rows=20, cells=2)
+        catalogue = plotweave.open_catalogue(spark, str(tmp_path / path), EMBEDDER)
+        found.append([
+            [r["Title"] for r in plotweave.search(asked, catalogue, 3, limit=3, probes=2).orderBy(
+                "result_rank").collect()], catalogue.meta["ann"], catalogue.meta["fulltext"]])
+    assert found[0][0] == found[1][0] and set(found[0][0]) == {"Film 7", "Film 70", "Film 79"}
+    assert found[0][1:] == [True, True] and not all(found[1][1:])
+    with pytest.raises(ZeroDivisionError):
+        plotweave.build_catalogue(spark, [SPEC], str(tmp_path / "needs"), EMBEDDER, tables={
+            "films": table}, index_min_rows=20, cells=2, require_indexes=True)
+    monkeypatch.setattr(workload, "films", lambda *_: table.selectExpr(
+        "title", "year release_year", "genre", "plot", "'' cast", "'' director", "'' keywords",
+        "o src_ord"))
+    with pytest.raises(ZeroDivisionError):
+        workload.catalogue_path(spark, str(tmp_path / "registered"))
+
+
 def test_a_build_deletes_its_intermediate_tables(spark, tmp_path):
     def kept():
         return [f for f in os.listdir(scratch.scratch_folder(spark).removeprefix("file://"))
