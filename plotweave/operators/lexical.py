@@ -14,8 +14,10 @@ from plotweave import settings as S
 from plotweave.functions import text as X
 from plotweave.functions.scores import quantise
 from plotweave.operators.rank import top_k
-from plotweave.operators.vector_search import HITS, BestHits, hits_of
-from plotweave.scratch import discard, pin_if_small, scratch_path, stage, stage_at
+from plotweave.operators.vector_search import (
+    HITS, MAX_BROADCAST_BYTES, BestHits, held_hits, hits_of, in_chunks, ranked_hits, state_of,
+    through_chunks, with_hits)
+from plotweave.scratch import discard, pin_if_small, stage, stage_at
 
 # Asked terms (a query and a term each) that are pinned and broadcast, and their bytes.
 PIN_TERMS = 500_000
@@ -30,8 +32,13 @@ MARGIN = 2e-6
 # Pairs of a document and a query scored at once, and contributions (of a posting to a query).
 DENSE_PAIRS = 2_000_000
 CONTRIBUTIONS = 500_000
-# Queries that are scored in one pass over the documents when a batch is too large to be pinned.
-PASS_QUERIES = 8_192
+# Queries and documents that are scored together when a batch is too large to be pinned; terms
+# that are summed by a matrix product; pairs that are summed again at once; bytes of a posting.
+PASS_QUERIES = 4_096
+DOCUMENT_ROWS = 2_048
+FREQUENT_TERMS = 256
+PAIRS_AGAIN = 100_000
+POSTING_BYTES = 12
 
 
 def _counted(tokens: pa.Array) -> pa.Array:
@@ -361,62 +368,198 @@ def bm25_without_index(
     """BM25 straight from the documents, counting only the terms that are asked for.
 
     The terms of a ``small_batch`` are broadcast only after their own number and size were checked;
-    any other batch goes in passes of bounded size.
+    any other batch, and one of more than ``PASS_QUERIES`` queries, meets the documents chunk by
+    chunk.
     """
     asked = query_terms(queries)
     held = pin_if_small(asked, PIN_TERMS, PIN_TERM_BYTES) if small_batch else None
-    if held is None:
-        return _in_passes(asked, docs, k, text, salts)
+    if held is None or len(held.values("query_id")) > PASS_QUERIES:
+        return _in_passes(asked, docs, k, text)
     return bm25_top_k(held.df, index_of(docs, held.df, text, True), k, salts, True)
 
 
-def _in_passes(asked: DataFrame, docs: DataFrame, k: int, text: str, salts) -> DataFrame:
-    """A large batch, ``PASS_QUERIES`` at a time: each pass reads the staged terms of whole
-    documents and scores them where they lie, so that no pair of a document and a query but the
-    best of a task is shuffled."""
+def _in_passes(asked: DataFrame, docs: DataFrame, k: int, text: str) -> DataFrame:
+    """A large batch: its queries lie in pieces over the tasks, and chunks of the documents, as
+    numbered terms with what each adds per unit of weight, are broadcast to them one after the
+    other. No pair of a document and a query is shuffled; a query keeps its best hits."""
     spark = asked.sparkSession
     asked, asked_path = stage_at(asked, "asked")
-    passes = max(1, -(-asked.select("query_id").distinct().count() // PASS_QUERIES))
-    index = _by_document(docs, asked, text)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(passes)).cast("int")
-    paths = []
-    for number in range(passes):
-        own = asked.where(part == number)
-        pinned = pin_if_small(own, PIN_TERMS, PIN_TERM_BYTES)
-        found = bm25_top_k(own, index, k, salts) if pinned is None else _score_documents(
-            pinned.df, index, k, salts)
-        paths.append(scratch_path(spark, "text-hits"))
-        found.write.parquet(paths[-1])
-    discard(spark, asked_path)
-    return spark.read.schema(f"{HITS}, rank int").parquet(*paths)
-
-
-def _by_document(docs: DataFrame, asked: DataFrame, text: str) -> LexicalIndex:
-    """Postings and statistics of the asked terms, staged with a row per document."""
     terms = pin_if_small(asked.select("term").distinct(), PIN_TERMS, PIN_TERM_BYTES)
-    rows, path = stage_at(asked_postings(
+    rows, rows_path = stage_at(asked_postings(
         docs, asked if terms is None else terms.df, text, terms is not None), "asked-postings")
     counts = rows.where(F.col("term").isNull()).agg(
         F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("avg_len")).first()
-    whole = stage(rows.where(F.col("term").isNotNull()).groupBy("id").agg(
-        F.collect_list(F.struct("term", "doc_len", "tf")).alias("terms")), "document-terms")
-    discard(docs.sparkSession, path)
-    docs_n, avg_len = F.lit(counts["docs"]), F.lit(counts["avg_len"] or 0.0)
-    index = whole.select("id", F.explode("terms").alias("t")).select(
-        "t.term", "id", "t.doc_len", "t.tf")
-    return LexicalIndex(index, stage(term_stats(index, avg_len), "term-stats"), docs_n, avg_len)
+    rows = rows.where(F.col("term").isNotNull())
+    numbered, numbered_path, total = _numbered(rows, asked, counts["docs"])
+    side = F.broadcast(numbered) if terms is not None else numbered
+    part = part_of_tf(F.lit(counts["avg_len"] or 0.0))
+    chunks = max(1, -(-total * POSTING_BYTES // MAX_BROADCAST_BYTES))
+    whole, whole_path = in_chunks(rows.join(side, "term").groupBy("id").agg(F.sort_array(
+        F.collect_list(F.struct("code", part.alias("part")))).alias("t")).select(
+        "id", F.col("t.code").alias("codes"), F.col("t.part").alias("parts")), chunks)
+    frequent = np.array([r["code"] for r in numbered.orderBy(
+        F.desc("cost"), "code").limit(FREQUENT_TERMS).collect()], np.int64)
+    queries = asked.join(side, "term").groupBy("query_id").agg(
+        F.collect_list(F.struct("code", "idf")).alias("t")).select(
+        "query_id", F.col("t.code").alias("codes"), F.col("t.idf").alias("weights"))
+    state = through_chunks(
+        state_of(queries, asked.select("query_id").distinct().count()), whole, chunks,
+        _documents_of, lambda shared: _meet_documents(shared, k, frequent))
+    for done in (asked_path, rows_path, numbered_path, whole_path):
+        discard(spark, done)
+    return ranked_hits(state, k)
+
+
+def _numbered(rows: DataFrame, asked: DataFrame, docs: int) -> tuple[DataFrame, str, int]:
+    """(term, idf, cost, code) of the asked terms that postings have, where they are staged, and the
+    number of postings. Codes count up from 0; ``cost`` is how many pairs share the term."""
+    spark = rows.sparkSession
+    df = F.col("df")
+    terms, path = stage_at(
+        rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(
+            asked.groupBy("term").agg(F.count(F.lit(1)).alias("queries")), "term").select(
+            "term", "df", F.log1p((F.lit(docs) - df + 0.5) / (df + 0.5)).alias("idf"),
+            (df * F.col("queries")).alias("cost"), F.monotonically_increasing_id().alias("at")),
+        "numbered-terms")
+    piece = F.shiftright("at", 33)
+    pieces = terms.groupBy(piece.alias("piece")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("df").alias("df")).orderBy("piece").toArrow()
+    before = np.cumsum(np.asarray(pieces["n"])) - np.asarray(pieces["n"])
+    first = spark.createDataFrame(
+        pa.table({"piece": pieces["piece"], "before": pa.array(before.astype(np.int64))}))
+    code = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")
+    held = terms.withColumn("piece", piece).join(F.broadcast(first), "piece").select(
+        "term", "idf", "cost", code.alias("code"))
+    return held, path, int(np.asarray(pieces["df"]).sum())
 
 
-def _score_documents(asked: DataFrame, index: LexicalIndex, k: int, salts) -> DataFrame:
-    """Best hits of a bounded batch, from postings that come together for each document."""
-    df = F.col("df")
-    table = index.terms.join(F.broadcast(asked), "term").select(
-        "query_id", "term", F.log1p((index.docs - df + 0.5) / (df + 0.5)).alias("idf"),
-        F.lit(False).alias("optional"), F.lit(0.0).alias("rest"),
-        F.lit(None).cast("double").alias("floor")).toArrow()
-    shared = asked.sparkSession.sparkContext.broadcast(_weights_of(table))
-    rows = index.postings.join(
-        F.broadcast(asked.select("term").distinct()), "term", "left_semi").select(
-        "term", "id", part_of_tf(index.avg_len).alias("part"))
-    return top_k(rows.mapInArrow(_score_rows(shared, k), HITS), ["query_id"],
-                 [F.desc("score"), F.asc("id")], k, salts=salts)
+@dataclass(frozen=True)
+class _Documents:
+    """Documents that are broadcast at once: from ``starts[i]`` up to ``starts[i + 1]`` the codes of
+    the terms of document i, upwards and each once, and their parts."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    codes: np.ndarray
+    parts: np.ndarray
+
+
+def _documents_of(table: pa.Table) -> _Documents:
+    codes = table["codes"].combine_chunks()
+    starts = np.append(0, np.cumsum(np.asarray(codes.value_lengths()))).astype(np.int64)
+    code = np.asarray(codes.flatten())
+    part = np.asarray(table["parts"].combine_chunks().flatten())
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    first = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))[:len(code)]
+    if not first.all():  # an id that comes twice has its terms twice
+        part = np.add.reduceat(part, np.flatnonzero(first))
+        code, row = code[first], row[first]
+        starts = np.searchsorted(row, np.arange(len(starts)))
+    return _Documents(np.asarray(table["id"]), starts, code, part)
+
+
+def _meet_documents(shared, k: int, frequent: np.ndarray):
+    """Kernel: pieces of the state to the same with the hits of one more chunk of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best = held_hits(batch, k)
+                sizes = np.asarray(batch["codes"].value_lengths())
+                query = np.repeat(np.arange(len(sizes)), sizes)
+                code = np.asarray(batch["codes"].flatten())
+                weight = np.asarray(batch["weights"].flatten())
+                for first in range(0, len(sizes), PASS_QUERIES):
+                    mine = (query >= first) & (query < first + PASS_QUERIES)
+                    _score_chunk(best, shared.value, frequent, query[mine], code[mine],
+                                 weight[mine], first, min(PASS_QUERIES, len(sizes) - first))
+                yield with_hits(batch, best)
+
+    return run
+
+
+def _score_chunk(best: BestHits, docs: _Documents, frequent: np.ndarray, query: np.ndarray,
+                 code: np.ndarray, weight: np.ndarray, base: int, width: int) -> None:
+    """Offer the documents to the ``width`` queries from place ``base`` on.
+
+    Sums are made in single precision: for frequent terms by a matrix product, for the others from
+    the postings of the asked terms. What can reach a query's floor within the error of that is
+    summed again in double.
+    """
+    span = int(max(docs.codes.max(initial=0), code.max(initial=0), frequent.max(initial=0))) + 1
+    slot = np.full(span, -1, np.int32)  # the place of a frequent term among them
+    slot[frequent] = np.arange(len(frequent))
+    own = query - base
+    common = slot[code] >= 0
+    asked = np.zeros((width, max(1, len(frequent))), np.float32)
+    np.add.at(asked, (own[common], slot[code[common]]), weight[common].astype(np.float32))
+    order = np.argsort(code[~common], kind="stable")
+    rare, rare_query = code[~common][order], own[~common][order]
+    rare_weight = weight[~common][order].astype(np.float32)
+    names, starts = np.unique(rare, return_index=True)
+    starts = np.append(starts, len(rare))
+    named = np.full(span, -1, np.int32)
+    named[names] = np.arange(len(names))
+
+    terms = np.argsort(own, kind="stable")  # the terms of each query, for sums in double
+    ends = np.cumsum(np.bincount(own, minlength=width))
+    begins = np.append(0, ends)[:-1]
+    number = ends - begins
+    # no part is above k1 + 1, and none of the weights is below 0
+    most = np.bincount(own, weight, width) * (S.BM25_K1 + 1)
+    slack = (number + 8) * float(np.finfo(np.float32).eps) * most + 1e-6
+
+    rows = max(1, min(DOCUMENT_ROWS, DENSE_PAIRS // width))
+    first = 0
+    while first < len(docs.ids):
+        last = min(first + rows, len(docs.ids))
+        # fewer documents where these have very many terms
+        bound = docs.starts[first] + CONTRIBUTIONS
+        last = max(first + 1, min(last, int(np.searchsorted(docs.starts, bound, "right")) - 1))
+        begin, end = docs.starts[first], docs.starts[last]
+        codes, parts = docs.codes[begin:end], docs.parts[begin:end]
+        document = np.repeat(np.arange(last - first), np.diff(docs.starts[first : last + 1]))
+        held = np.zeros((asked.shape[1], last - first), np.float32)
+        at = slot[codes]
+        held[at[at >= 0], document[at >= 0]] = parts[at >= 0]
+        scores = asked @ held
+        flat = scores.reshape(-1)
+        at = named[codes]
+        met = np.flatnonzero(at >= 0)
+        at = at[met]
+        times = starts[at + 1] - starts[at]
+        ahead = np.append(0, np.cumsum(times))
+        low = 0
+        while low < len(met):  # contributions that are bounded
+            high = max(low + 1, int(np.searchsorted(ahead, ahead[low] + CONTRIBUTIONS, "right")) - 1)
+            n = times[low:high]
+            posting = np.repeat(np.arange(low, high), n)
+            place = np.arange(len(posting)) + np.repeat(starts[at[low:high]] - ahead[low:high] + ahead[low], n)
+            np.add.at(flat, rare_query[place] * (last - first) + document[met[posting]],
+                      rare_weight[place] * parts[met[posting]].astype(np.float32))
+            low = high
+        floor = best.floor[base : base + width]
+        if np.isneginf(floor).any() and last - first > best.k:
+            local = np.partition(scores, last - first - best.k, axis=1)[:, last - first - best.k]
+            floor = np.fmax(floor, local - slack)
+        tried = np.maximum(floor - slack, np.finfo(np.float32).tiny).astype(np.float32)
+        cells = np.flatnonzero(scores >= tried[:, None])
+        for i in range(0, len(cells), PAIRS_AGAIN):
+            one, row = np.divmod(cells[i : i + PAIRS_AGAIN], last - first)
+            exact = _sums_again(one, row, begins, number, terms, code, weight, codes, document,
+                                parts, span)
+            kept = exact >= best.floor[base + one]
+            best.add(base + one[kept], docs.ids[first + row[kept]], exact[kept])
+        first = last
+
+
+def _sums_again(one, row, begins, number, terms, code, weight, codes, document, parts, span):
+    """Scores of pairs of a query and a document in double, rounded, from the query's terms."""
+    n = number[one]
+    pair = np.repeat(np.arange(len(one)), n)
+    place = terms[np.arange(len(pair)) + np.repeat(begins[one] - np.cumsum(n) + n, n)]
+    keys = document * span + codes
+    wanted = row[pair] * span + code[place]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    value = np.where(keys[at] == wanted, parts[at] * weight[place], 0.0)
+    return np.round(np.bincount(pair, value, len(one)), S.SCORE_PLACES)

@@ -141,6 +141,31 @@ def test_large_batches_are_scored_in_passes(spark, monkeypatch, pinned):
     assert sorted(map(tuple, got.collect())) == want and not shuffled
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 100])
+def test_large_batches_meet_the_documents_in_chunks(spark, monkeypatch, frequent):
+    """Of a query no more than its hits leave a task, and no hits are shuffled; ids that come twice
+    count as in a small batch."""
+    texts = [(i, " ".join(["the", *[f"w{(i * j) % 17}" for j in range(i % 9)]])) for i in range(120)]
+    texts += [(7, "the w3 w3 other"), (8, None), (500, ""), (501, "the " * 400)]
+    asked = [(q, f"the w{q % 19} w{q % 7} none") for q in range(60)] + [(5, "w5 w6"), (99, "none")]
+    docs = spark.createDataFrame(texts, "id bigint, combined_text string").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id bigint, query string")
+    for k in (6, 200):
+        want = sorted(map(tuple, lexical.bm25_without_index(
+            queries, docs, k, small_batch=True).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(lexical, "PASS_QUERIES", 20)
+            patch.setattr(lexical, "FREQUENT_TERMS", frequent)
+            patch.setattr(lexical, "DOCUMENT_ROWS", 16)
+            patch.setattr(lexical, "CONTRIBUTIONS", 90)
+            patch.setattr(lexical, "PAIRS_AGAIN", 50)
+            patch.setattr(lexical, "MAX_BROADCAST_BYTES", 2_000)
+            patch.setattr(lexical, "top_k", None)
+            for small in (True, False):
+                got = lexical.bm25_without_index(queries, docs, k, small_batch=small)
+                assert sorted(map(tuple, got.collect())) == want
+
+
 def test_contributions_are_bounded(monkeypatch):
     """A block of documents brings a bounded number of contributions to the queries."""
     import numpy as np

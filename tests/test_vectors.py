@@ -329,6 +329,19 @@ def test_batches_are_bounded_by_rows(monkeypatch, queries, index, codes):
     assert 0 < max(shared) < queries.count()
 
 
+def test_large_batches_keep_their_hits_in_their_tasks(monkeypatch, queries, corpus, vectors):
+    """Chunks of the corpus are broadcast; no hits are shuffled, whatever the number of tasks."""
+    monkeypatch.setattr(V, "QUERY_CHUNK_ROWS", 15)
+    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 4 * DIM * 200)
+    twice = queries.unionByName(queries.filter("query_id < 100"))
+    more = V.exact_knn(twice, corpus, 12, DIM).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in more if r["query_id"] == 20] == [
+        i for i in brute(vectors, [20], 6)[20] for _ in range(2)]
+    monkeypatch.setattr(V, "top_k", None)
+    for k in (1, 9, 250, 900):
+        assert collected(V.exact_knn(queries, corpus, k, DIM)) == brute(vectors, IDS, k)
+
+
 @pytest.mark.parametrize("scale", [1e-20, 1.0, 1e17, 1e30])
 def test_scores_of_any_size_are_those_of_double_precision(scale):
     rng = np.random.default_rng(3)
