@@ -12,6 +12,7 @@ from plotweave.functions import text as X
 from plotweave.operators import lexical
 from plotweave.operators.embed import hashed_words
 from plotweave.plans import search as SP
+from plotweave.plans import similar as SIM
 from plotweave.plans.present import page_counts, paged, result_cards
 from plotweave.sources.specs import SourceSpec
 
@@ -327,6 +328,21 @@ def test_similar_excludes_itself_and_unknown_is_empty(spark, catalogue):
     assert all(r["Similarity"].endswith("%") for r in rows)
 
 
+@pytest.mark.parametrize("pinned", [True, False])
+def test_texts_of_similar_items_are_looked_up_last(spark, catalogue, monkeypatch, pinned):
+    """Only the rows that stay get a plot, and none is sorted by query."""
+    opened = plotweave.open_catalogue(spark, catalogue[0], EMBEDDER)
+    anchors = opened.entities.select(F.col("id").alias("query_id"), "title", "release_year")
+    want = {r["id"]: r["plot"] for r in opened.entities.collect()}
+    if not pinned:
+        monkeypatch.setattr(SIM, "PIN_ROWS", 0)
+    found = plotweave.similar(anchors, opened, k=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan or plan.index("Join") < plan.index("Window")
+    rows = found.collect()
+    assert rows and all(r["Plot"] == want[r["id"]] for r in rows)
+
+
 def test_cards_and_pages(spark):
     results = spark.createDataFrame([
         (1, 1, "T", "1999", "Drama", "p" * 161, "97.2%"),
